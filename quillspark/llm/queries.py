@@ -5,19 +5,52 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspark.llm import tokenizer
+from quillspark.llm import pieces, reading, tokenizer
 from quillspark.session import table
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that had to be split."""
+    return p4_pieces(spark, sf_dir).select("id").distinct()
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every oversized chunk."""
+    return pieces.split_oversized(table(spark, sf_dir, "code_chunks"), table(spark, sf_dir, "chunker_config"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return tokenizer.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reading band of every document of at least 40 words."""
+    return p8_bands(spark, sf_dir).filter("n_words >= 40").select("doc_id", "band")
+
+
+def p8_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and reading band of every document."""
+    return reading.reading_bands(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+
+
+def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by source, language, kind and band."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "doc_kind")
+    return p8_bands(spark, sf_dir).filter("n_words >= 40").join(docs, "doc_id").groupBy("source", "lang", "doc_kind", "band").agg(F.count("*").alias("n_docs"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_ids,)}
+    return {f.__name__: f for f in (p4_found, p4_pieces, p6_ids, p8_found, p8_bands, p8_profile)}
+
+
+P4_FOUND = """
+SELECT DISTINCT c.id AS id FROM code_chunks c JOIN chunker_config k ON c.category = k.category
+WHERE octet_length(encode(c.content)) > k.max_bytes
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p4_found": P4_FOUND}
