@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import pieces, reading, tokenizer
+from quillspark.llm import neighbours, pieces, reading, tokenizer
 from quillspark.session import table
 
 
@@ -21,6 +21,17 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.split_oversized(table(spark, sf_dir, "code_chunks"), table(spark, sf_dir, "chunker_config"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of ids of a cosine of at least 0.90, one among the 10 nearest of the other."""
+    chunks = table(spark, sf_dir, "code_chunks")
+    return neighbours.linked_pairs(neighbours.neighbours(chunks, latest=F.col("indexed_at"), least=0.90))
+
+
+def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 most similar ids of every id."""
+    return neighbours.neighbours(table(spark, sf_dir, "code_chunks"), latest=F.col("indexed_at"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return tokenizer.encode_corpus(table(spark, sf_dir, "documents"))
@@ -43,7 +54,7 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_pieces, p6_ids, p8_found, p8_bands, p8_profile)}
+    return {f.__name__: f for f in (p4_found, p4_pieces, p5_found, p5_neighbours, p6_ids, p8_found, p8_bands, p8_profile)}
 
 
 P4_FOUND = """
