@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import neighbours, pieces, reading, tokenizer
+from quillspark.llm import neighbours, packing, pieces, reading, tokenizer
 from quillspark.session import table
 
 
@@ -37,6 +37,16 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Container of each document (or part of one above the capacity), for every window."""
+    return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "context_windows"))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers and their unused space by window."""
+    return packing.fill(p7_packed(spark, sf_dir), table(spark, sf_dir, "context_windows"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reading band of every document of at least 40 words."""
     return p8_bands(spark, sf_dir).filter("n_words >= 40").select("doc_id", "band")
@@ -54,7 +64,7 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_pieces, p5_found, p5_neighbours, p6_ids, p8_found, p8_bands, p8_profile)}
+    return {f.__name__: f for f in (p4_found, p4_pieces, p5_found, p5_neighbours, p6_ids, p7_packed, p7_fill, p8_found, p8_bands, p8_profile)}
 
 
 P4_FOUND = """
