@@ -37,7 +37,9 @@ STEPS = 64
 QUANTILES = np.array([0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95])
 
 _FENCE = re.compile(r"^[ \t]*(```|~~~).*?(?:^[ \t]*\1[ \t]*$|\Z)", re.S | re.M)
-_SPANS = re.compile(r"`[^`\n]*`|!?\[[^\]\n]*\]\([^)\n]*\)|<?\b\w+://\S+|\b[\w./-]+@[\w.-]+|\S*[/\\_]\S*")
+_SPANS = re.compile(r"`[^`\n]*`|!?\[[^\]\n]*\]\([^)\n]*\)")
+#: Runs without white space that hold a slash, an underscore or an at sign: links, paths, addresses, names from code.
+_RUNS = re.compile(r"(?<!\S)[^\s/\\_@]*+[/\\_@]\S*")
 _LINES = re.compile(
     r"^(?:[ \t]*\|.*|[ \t]*#{1,6}[ \t].*|(?: {4,}|\t).*|Traceback .*|[ \t]*File \".*|[ \t]*at [\w.$<>]+\(.*|[\w.]*(?:Error|Exception)\b:.*|.*[{};][ \t]*|.*[=<>]{2,}.*)$", re.M
 )
@@ -49,7 +51,7 @@ def prose_words(text: str) -> list[str]:
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     if "```" in text or "~~~" in text:
         text = _FENCE.sub("\n", text)
-    return _WORD.findall(_SPANS.sub(" ", _LINES.sub("", text)).lower())
+    return _WORD.findall(_RUNS.sub(" ", _SPANS.sub(" ", _LINES.sub("", text))).lower())
 
 
 def doc_bands(labels: DataFrame) -> DataFrame:
