@@ -7,10 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import neighbours, packing, pieces, reading, tokenizer
+from quillspark.llm import neighbours, packing, pieces, reading, source_files, tokenizer
 from quillspark.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that aren't valid in the language of their extension."""
+    return p1_errors(spark, sf_dir).filter("not valid").select("repo_id", "path")
+
+
+def p1_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validity and first unrecoverable error of every source file."""
+    return source_files.syntax_errors(table(spark, sf_dir, "code_chunks"))
+
+
+def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of invalid files by repository and language."""
+    return source_files.error_rates(p1_errors(spark, sf_dir))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks that had to be split."""
     return p4_pieces(spark, sf_dir).select("id").distinct()
@@ -64,7 +79,7 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_pieces, p5_found, p5_neighbours, p6_ids, p7_packed, p7_fill, p8_found, p8_bands, p8_profile)}
+    return {f.__name__: f for f in (p1_found, p1_errors, p1_rates, p4_found, p4_pieces, p5_found, p5_neighbours, p6_ids, p7_packed, p7_fill, p8_found, p8_bands, p8_profile)}
 
 
 P4_FOUND = """
