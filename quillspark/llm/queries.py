@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import neighbours, packing, pieces, reading, source_files, tokenizer
+from quillspark.llm import credentials, neighbours, packing, pieces, reading, source_files, tokenizer
 from quillspark.session import table
 
 
@@ -26,6 +26,21 @@ def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_files.error_rates(p1_errors(spark, sf_dir))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk and line of every usable credential value."""
+    return credentials.found_lines(table(spark, sf_dir, "code_chunks"))
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked content of every chunk that holds a credential."""
+    return credentials.redacted(table(spark, sf_dir, "code_chunks"))
+
+
+def p3_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Redactions that the last run of each repository reported, and those found."""
+    return credentials.by_run(table(spark, sf_dir, "code_chunks"), table(spark, sf_dir, "index_stats"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks that had to be split."""
     return p4_pieces(spark, sf_dir).select("id").distinct()
@@ -79,7 +94,7 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_errors, p1_rates, p4_found, p4_pieces, p5_found, p5_neighbours, p6_ids, p7_packed, p7_fill, p8_found, p8_bands, p8_profile)}
+    return {f.__name__: f for f in (p1_found, p1_errors, p1_rates, p3_found, p3_redacted, p3_by_run, p4_found, p4_pieces, p5_found, p5_neighbours, p6_ids, p7_packed, p7_fill, p8_found, p8_bands, p8_profile)}
 
 
 P4_FOUND = """
