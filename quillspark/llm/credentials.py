@@ -28,6 +28,8 @@ from quillspark.llm.tokenizer import TOKENIZER_DIR, encoder
 
 #: Below this many characters per subword a string is no word or name.
 NATURAL = 3.3
+#: Below this, letters of both cases alone are random too.
+RANDOM = 2.3
 MASK = "*"
 
 # Names of credentials, in several languages, as parts of identifiers (lower case).
@@ -37,8 +39,8 @@ _NAME = (
 )
 #: Everything that a value can stand behind or begin with, looked for in one pass over the lower-case text.
 _SIGNS = re.compile(
-    rf"(?P<name>{_NAME})|(?P<vendor>gh[pousr]_|github_pat_|glpat-|xox[abeoprs]-|[sr]k_(?:live|test)_|sk-|pk-|npm_|sg\.|aiza|akia|asia|hf_|pypi-|dop_v1_|eyj)|(?P<url>://)"
-    r"|(?P<bearer>bearer[ \t])|(?P<basic>basic[ \t])|(?P<user>(?:-u|--user)[ =])|(?P<block>-----begin )|(?P<call>(?:login|connect|sign_?in|basic_?auth)\()"
+    rf"(?P<name>{_NAME})|(?P<vendor>gh[pousr]_|github_pat_|glpat-|xox[abeoprs]-|[sr]k_(?:live|test)_|sk-|pk-|rk-|npm_|sg\.|aiza|akia|asia|hf_|pypi-|dop_v1_|eyj)|(?P<url>://)"
+    r"|(?P<bearer>bearer[ \t])|(?P<basic>basic[ \t])|(?P<user>(?:-u|--user)[ =])|(?P<block>-----begin )|(?P<call>(?:login|connect|sign_?in|basic_?auth|open_?session)\()"
 )
 _HEAD = re.compile(r"[\w.-]*$")
 _LITERAL = r"(?:\"(?P<v1>[^\"\n]{4,400})\"|'(?P<v2>[^'\n]{4,400})'|`(?P<v3>[^`\n]{4,400})`)"
@@ -48,10 +50,10 @@ _QUOTED = re.compile(
     rf"(?:[\w.]+\(\s*[\"'][^\"'\n]*[\"']\s*,\s*)?[rbuRBU]?{_LITERAL}"
 )
 _BARE = re.compile(r"(?P<tail>\w*+)[ \t]*+(?:=|:|is\b)[ \t]*+(?P<v>[^\s\"'`,;<>(){}\[\]][^\s\"'`;<>]{5,400})")
-_CALL = re.compile(rf"(?i)(?:login|authenticate|auth|connect|sign_?in|basic_?auth|credentials?)\(\s*[\"'][^\"'\n]*[\"']\s*,\s*{_LITERAL}")
+_CALL = re.compile(rf"(?i)(?:login|authenticate|auth|connect|sign_?in|basic_?auth|open_?session|credentials?)\(\s*[\"'][^\"'\n]*[\"']\s*,\s*{_LITERAL}")
 _VENDOR = re.compile(
     r"(?:gh[pousr]_[A-Za-z0-9]{20,255}|github_pat_[A-Za-z0-9_]{20,255}|glpat-[A-Za-z0-9_-]{16,64}|xox[abeoprs]-[A-Za-z0-9-]{10,250}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,250}"
-    r"|(?:sk|pk)-(?:[a-z]+-)?[A-Za-z0-9_-]{20,250}|npm_[A-Za-z0-9]{30,64}|SG\.[A-Za-z0-9_-]{16,64}\.[A-Za-z0-9_-]{16,80}|AIza[A-Za-z0-9_-]{30,45}|(?:AKIA|ASIA)[A-Z0-9]{12,24}|hf_[A-Za-z0-9]{30,64}"
+    r"|(?:sk|pk|rk)-(?:[a-z]+-)?[A-Za-z0-9_-]{20,250}|npm_[A-Za-z0-9]{30,64}|SG\.[A-Za-z0-9_-]{16,64}\.[A-Za-z0-9_-]{16,80}|AIza[A-Za-z0-9_-]{30,45}|(?:AKIA|ASIA)[A-Z0-9]{12,24}|hf_[A-Za-z0-9]{30,64}"
     r"|pypi-[A-Za-z0-9_-]{40,250}|dop_v1_[a-f0-9]{40,80}|eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{16,})"
 )
 _IN_WORD = re.compile(r"[A-Za-z0-9_/+]")
@@ -94,7 +96,7 @@ class Judge:
         letters, digits = any(c.isalpha() for c in value), any(c.isdigit() for c in value)
         signs = any(not c.isalnum() for c in value)
         mixed = any(c.islower() for c in value) and any(c.isupper() for c in value)
-        if not letters or not (digits or signs and mixed) or re.search(r"\w\(|\)\.|^[\w.]+\[|^/|^\./", value):
+        if not letters or not (digits or signs and mixed or mixed and self.characters_per_subword(value) < RANDOM) or re.search(r"\w\(|\)\.|^[\w.]+\[|^/|^\./", value):
             return False
         return self.unnatural(value)
 

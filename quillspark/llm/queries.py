@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import credentials, neighbours, packing, pieces, reading, source_files, tokenizer
+from quillspark.llm import credentials, handwritten, neighbours, packing, pieces, reading, source_files, tokenizer
 from quillspark.session import table
 
 
@@ -26,6 +26,16 @@ def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_files.error_rates(p1_errors(spark, sf_dir))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that no one of the team wrote by hand."""
+    return p2_kinds(spark, sf_dir).select("repo_id", "path")
+
+
+def p2_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files with what they are."""
+    return handwritten.not_handwritten(table(spark, sf_dir, "code_chunks"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunk and line of every usable credential value."""
     return credentials.found_lines(table(spark, sf_dir, "code_chunks"))
@@ -94,7 +104,7 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_errors, p1_rates, p3_found, p3_redacted, p3_by_run, p4_found, p4_pieces, p5_found, p5_neighbours, p6_ids, p7_packed, p7_fill, p8_found, p8_bands, p8_profile)}
+    return {f.__name__: f for f in (p1_found, p1_errors, p1_rates, p2_found, p2_kinds, p3_found, p3_redacted, p3_by_run, p4_found, p4_pieces, p5_found, p5_neighbours, p6_ids, p7_packed, p7_fill, p8_found, p8_bands, p8_profile)}
 
 
 P4_FOUND = """
