@@ -70,7 +70,7 @@ def line_windows(docs: DataFrame, most: int = 2000, overlap: int = 3) -> DataFra
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(part, pa.int32()), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(chunk, pa.string())], names=["id", "part", "first_line", "last_line", "chunk"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.filter("text is not null and trim(text) <> ''").select("id", "text").mapInArrow(run, f"id {kind}, part int, first_line int, last_line int, chunk string")
+    return docs.filter(F.col("text").rlike(r"\S")).select("id", "text").mapInArrow(run, f"id {kind}, part int, first_line int, last_line int, chunk string")
 
 
 def paragraphs(docs: DataFrame, least: int = 200, most: int = 2000) -> DataFrame:
@@ -88,4 +88,4 @@ def paragraphs(docs: DataFrame, least: int = 200, most: int = 2000) -> DataFrame
         return F.when(join, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.concat(last, p)))).otherwise(F.concat(done, F.array(p)))
 
     packed = F.aggregate(flat, F.array().cast("array<string>"), step)
-    return docs.filter("text is not null and trim(text) <> ''").select("id", F.posexplode(packed).alias("part", "chunk"))
+    return docs.filter(F.col("text").rlike(r"\S")).select("id", F.posexplode(packed).alias("part", "chunk"))

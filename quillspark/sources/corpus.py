@@ -21,7 +21,7 @@ def source_files(spark: SparkSession, root: str, extra: list[str] | None = None)
     path = F.expr(f"substring(path, instr(path, '{start}') + {len(start)})")
     named = raw.withColumn("path", path).filter(indexable(F.col("path"), extra)).filter((F.col("length") > 0) & (F.col("length") <= F.when(F.col("path").endswith(".json"), MAX_JSON_BYTES).otherwise(MAX_BYTES)))
     sound = named.filter((F.position(F.lit(b"\0"), F.substring("content", 1, PROBED)) == 0) & F.is_valid_utf8("content"))
-    return sound.select("path", F.sha2("content", 256).alias("sha"), F.decode("content", "UTF-8").alias("text")).filter("trim(text) <> ''")
+    return sound.select("path", F.sha2("content", 256).alias("sha"), F.decode("content", "UTF-8").alias("text")).filter(F.col("text").rlike(r"\S"))
 
 
 def golden_cases(spark: SparkSession, path: str) -> DataFrame:
