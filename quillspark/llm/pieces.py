@@ -11,7 +11,8 @@ Defined results: rows of null content or of a category without limits aren't
 oversized; the same id delivered again counts once (the latest ``indexed_at``);
 empty tables give empty tables; other columns are ignored. A character is never cut,
 a line only where it alone exceeds the limit, and then its pieces share no line text.
-A null ``start_line`` counts as 1.
+A null ``start_line`` counts as 1; a limit below 4 bytes, which no
+character may fit, isn't one.
 """
 
 from __future__ import annotations
@@ -79,6 +80,7 @@ def atoms_of(text: str, max_bytes: int) -> tuple[list[str], np.ndarray, np.ndarr
     """Atoms, the line (from 0) of each, and the strength of the border before each."""
     atoms, lines, strength = [], [], []
     rows = text.split("\n")
+    run = max(1, min(RUN, max_bytes // 4))
     for n, row in enumerate(rows):
         whole = row + "\n" if n + 1 < len(rows) else row
         before = line_strength(rows[n - 1], row) if n else 0.0
@@ -88,8 +90,8 @@ def atoms_of(text: str, max_bytes: int) -> tuple[list[str], np.ndarray, np.ndarr
             strength.append(before)
             continue
         for word in _WORDS.findall(whole):
-            for at in range(0, len(word), RUN):
-                atoms.append(word[at : at + RUN])
+            for at in range(0, len(word), run):
+                atoms.append(word[at : at + run])
                 lines.append(n)
                 prior = atoms[-2][-1:] if len(atoms) > 1 and lines[-2] == n else ""
                 strength.append(before if not prior else -10.0 if prior.isspace() else -15.0 if prior in ",;)]}>" else -20.0)
@@ -130,7 +132,7 @@ def split_text(text: str, max_bytes: int, min_bytes: int = 0, overlap_lines: int
 
 def oversized(chunks: DataFrame, limits: DataFrame) -> DataFrame:
     """Rows above the limit of their category, each id once, with the limits beside them."""
-    limits = limits.filter("max_bytes is not null and category is not null").groupBy("category").agg(
+    limits = limits.filter("max_bytes >= 4 and category is not null").groupBy("category").agg(
         F.min("max_bytes").alias("max_bytes"), F.coalesce(F.min("min_bytes"), F.lit(0)).alias("min_bytes"), F.coalesce(F.min("overlap_lines"), F.lit(0)).alias("overlap_lines")
     )
     rows = chunks.select("id", "category", "start_line", "content", "indexed_at").filter("id is not null and content is not null")

@@ -22,7 +22,7 @@ items: item (',' item)* [',']
 item: '*' ortest | named
 named: test [':=' test]
 test: 'lambda' [lparams] ':' test | ortest ['if' ortest 'else' test]
-ortest: unary (BINOP unary | '*' unary | '**' unary | '-' unary | '@' unary | 'in' unary | 'not' 'in' unary | 'is' unary | '|' unary)*
+ortest: unary (BINOP unary | '*' unary | '**' unary | '-' unary | '@' unary | '/' unary | 'in' unary | 'not' 'in' unary | 'is' unary | '|' unary)*
 unary: ('-' | '~' | 'not' | 'await')* atom trailer*
 atom: NAME | NUMBER | STRING+ | '...' | '(' [inside] ')' | '[' [inside] ']' | '{' [entries] '}' | MATCHNAME
 inside: 'yield' ['from' test | items] | entry (compfor | (',' entry)* [','])
@@ -207,12 +207,12 @@ spec: {ts("['type']")} (name | STRING | 'default') ['as' (name | 'default' | STR
 export_rest: 'default' (function | 'async' function | decorated {ts("| 'abstract' class")} | comma eos) | declaration | {ts("['type']")} names ['from' STRING] eos | '*' ['as' (name | STRING)] 'from' STRING eos {ts("| '=' comma eos")}
 block: '{{' statement* '}}'
 comma: expr (',' expr)*
-expr: arrow | 'async' (arrow | function trailer* binary*) | unary binary*
-arrow: {ts("[tparams]")} 'A(' [params] ')' {ts("[':' returned]")} '=>' arrow_body | ARROW_NAME '=>' arrow_body
+expr: {generics} (arrow | unary binary*) | 'async' ({generics} arrow | function trailer* binary*)
+arrow: 'A(' [params] ')' {ts("[':' returned]")} '=>' arrow_body | ARROW_NAME '=>' arrow_body
 arrow_body: block | expr
 binary: (BINOP | '+' | '-' | '*' | 'in' | '<' | '>' ['>' ['>']]) operand_or_arrow | ('=' | AUG) expr | '?' expr ':' expr {ts("| 'as' type | 'satisfies' type | '&' operand_or_arrow | '|' operand_or_arrow")}
-operand_or_arrow: unary | arrow
-unary: ('+' | '-' | '!' | '~' | '++' | '--' | 'typeof' | 'void' | 'delete' | 'await' {ts("| targs")})* primary trailer*
+operand_or_arrow: {generics} (unary | arrow)
+unary: ('+' | '-' | '!' | '~' | '++' | '--' | 'typeof' | 'void' | 'delete' | 'await')* primary trailer*
 primary: name | NUMBER | STRING | TEMPLATE | REGEX | PRIVATE | LITERAL | 'this' | 'super' | '(' comma ')' | '[' [','+] [element (','+ element)* [','+]] ']' | object | function | decorated | 'new' creator | 'yield' ['*'] [expr] | 'import' ('(' [args] ')' | '.' NAME) {ts("| 'async' function")} | JSX
 creator: '.' NAME | ['new'] primary ('.' (NAME | PRIVATE) | '[' comma ']')* {ts("[targs]")} ['(' [args] ')']
 element: ['...'] expr
@@ -228,17 +228,17 @@ name: NAME | 'as' | 'of' | 'from' | 'satisfies'
 declared: variables eos | function | 'async' function | decorated | 'type' name [tparams] '=' type eos | 'interface' name [tparams] ['extends' type (',' type)*] '{{' [members] '}}' | ['abstract'] class | 'enum' name '{{' [enum_member (',' enum_member)* [',']] '}}' | ('namespace' | 'module') (STRING | name ('.' name)*) (block | eos) | 'global' block
 enum_member: property ['=' expr]
 tparams: 'G<' tparam (',' tparam)* [','] 'G>'
-tparam: ['const'] ['in'] name ['extends' type] ['=' type]
+tparam: ['in'] type ['=' type]
 targs: 'G<' type (',' type)* 'G>'
 returned: ['asserts'] type ['is' type]
-type: ['|' | '&'] prefixed (('|' | '&') prefixed)* ['extends' type '?' type ':' type]
+type: ['|' | '&'] prefixed (('|' | '&') prefixed)* ['extends' type ['?' type ':' type]]
 prefixed: ('keyof' | 'typeof' | 'readonly' | 'unique' | 'infer')* simple ('[' [type] ']')*
-simple: name ('.' NAME)* [targs] | STRING | TEMPLATE | NUMBER | '-' NUMBER | LITERAL | 'void' | 'this' | 'const' | '(' type ')' | [tparams] 'A(' [params] ')' '=>' returned | ['abstract'] 'new' [tparams] ('A(' | '(') [params] ')' '=>' type
+simple: name ('.' NAME)* [targs] | STRING | TEMPLATE | NUMBER | '-' NUMBER | LITERAL | 'void' | 'this' | 'const' [name ('.' NAME)* [targs]] | '(' type ')' | [tparams] 'A(' [params] ')' '=>' returned | ['abstract'] 'new' [tparams] ('A(' | '(') [params] ')' '=>' type
     | '{{' [members] '}}' | '[' [tuple_item (',' tuple_item)* [',']] ']' | 'import' '(' STRING ')' ('.' NAME)* [targs]
 tuple_item: ['...'] type ['?'] [':' type]
 members: member ((eos | ',') [member])*
 member: ('+' | '-' | 'readonly' | 'get' | 'set' | MODIFIER)* (member_name ['?' | '-' '?' | '+' '?'] [callable | ':' type] | callable | 'new' callable)
-member_name: NAME | 'as' | 'of' | 'from' | STRING | NUMBER | PRIVATE | {words} | '[' expr [':' type | 'in' type ['as' type]] ']'
+member_name: NAME | 'as' | 'of' | 'from' | STRING | NUMBER | PRIVATE | {words} | '[' unary [':' type | 'in' type ['as' type]] ']'
 callable: [tparams] ('(' | 'A(') [params] ')' [':' returned]
 """
     return grammar.replace("eos", EOS)

@@ -56,7 +56,8 @@ def words(text: str) -> dict[str, str]:
 _JSON = re.compile(
     r"[ \t\r\n]*+(\"(?:[^\"\\\x00-\x1f]|\\(?:[\"\\/bfnrt]|u[0-9a-fA-F]{4}))*+\"|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.])|[{}\[\]:,]|\w+|\Z|[\s\S])"
 )
-_JSON_CLASSES = Classes(words("{ } [ ] : , true false null") | {"": "END"}, lambda t: "STRING" if t[0] == '"' and len(t) > 1 else "NUMBER" if t[0].isdigit() or t[0] == "-" and len(t) > 1 else "ERR")
+_JSON_NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?", re.ASCII)
+_JSON_CLASSES = Classes(words("{ } [ ] : , true false null") | {"": "END"}, lambda t: "STRING" if t[0] == '"' and len(t) > 1 else "NUMBER" if _JSON_NUMBER.fullmatch(t) else "ERR")
 
 
 def json_tokens(text: str) -> tuple[list[str], frozenset[int], list[int]]:
@@ -95,10 +96,10 @@ def _python_class(t: str) -> str:
 _PYTHON_CLASSES = Classes(
     words(
         "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield"
-        " ... := -> * ** - ~ @ | ( ) [ ] { } , : . ; ="
+        " ... := -> * ** - ~ @ | / ( ) [ ] { } , : . ; ="
     )
     | dict.fromkeys("False None True".split(), "NAME")
-    | dict.fromkeys("and or / // % & ^ << >> == != <= >= < >".split(), "BINOP")
+    | dict.fromkeys("and or // % & ^ << >> == != <= >= < >".split(), "BINOP")
     | dict.fromkeys("**= //= >>= <<= += -= *= /= %= @= &= |= ^=".split(), "AUG")
     | {"+": "-", "": "END"},
     _python_class,
@@ -470,20 +471,18 @@ def script_tokens(text: str, types: bool) -> tuple[list[str], frozenset[int], li
                 out[i] = "ARROW_NAME"
             elif t in _CONTEXT:
                 _context(tokens, out, i, lines, pair, types)
-            elif types and after == ":" and False:
-                pass
             if after == ":" and out[i] == "NAME" and out[i + 2 : i + 3] and out[i + 2] in ("for", "while", "do", "switch") and (i == 0 or out[i - 1] in (";", "{", "}", ")") or i in lines):
                 out[i] = "LABEL"
         elif c == "(" and i in pair:
             j = pair[i] + 1
             if out[j] == "=>":
                 out[i] = "A("
-            elif types and out[j] == ":" and (i == 0 or out[i - 1] not in _OPERAND_ENDS or tokens[i - 1] == "async") and (i == 0 or out[i - 1] != "?"):
+            elif types and out[j] == ":" and _may_begin_arrow(out, tokens, i):
                 if out[_skip_type(out, j + 1, pair) if out[j + 1] != "NAME" or tokens[j + 1] != "asserts" else j] == "=>" or _predicate(tokens, out, j + 1, pair):
                     out[i] = "A("
         elif c == "<" and types:
             j = _angles(out, i, _TS_IN_TYPES, pair)
-            if j > 0 and (out[j + 1] in _TS_AFTER_TYPE or j + 1 in lines) and (i == 0 or out[i - 1] not in (")", "NUMBER", "STRING")):
+            if j > 0 and (out[j + 1] in _TS_AFTER_TYPE or j + 1 in lines or i and out[i - 1] not in _OPERAND_ENDS) and (i == 0 or out[i - 1] not in (")", "NUMBER", "STRING")):
                 depth = 0
                 for k in range(i, j + 1):
                     if out[k] == "<":
@@ -496,6 +495,19 @@ def script_tokens(text: str, types: bool) -> tuple[list[str], frozenset[int], li
     return out, frozenset(lines | ends | {len(out) - 1}), where
 
 
+def _may_begin_arrow(out: list[str], tokens: list[str], i: int) -> bool:
+    """Whether the parenthesis at ``i`` doesn't follow an operand (its own type parameters aside)."""
+    p = i - 1
+    if p >= 0 and out[p] == "G>":
+        depth = 0
+        while p >= 0:
+            depth += {"G>": 1, "G<": -1}.get(out[p], 0)
+            p -= 1
+            if depth == 0:
+                break
+    return p < 0 or (out[p] not in _OPERAND_ENDS or tokens[p] == "async") and out[p] != "?"
+
+
 def _predicate(tokens: list[str], out: list[str], j: int, pair: dict[int, int]) -> bool:
     """Whether ``x is T =>`` starts at ``j``."""
     return out[j] == "NAME" and tokens[j + 1 : j + 2] == ["is"] and out[_skip_type(out, j + 2, pair)] == "=>"
