@@ -41,6 +41,15 @@ def test_bm25_against_brute_force(spark):
         assert got.get(i, 0) == pytest.approx(score)
 
 
+def test_bm25_of_many_queries(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    queries = docs.filter("id % 10 = 0").withColumnRenamed("id", "query_id")
+    run = lambda: sorted((r["query_id"], r["id"], r["rank"], round(r["score"], 6)) for r in lexical.bm25_topk(queries, docs).collect())
+    few = run()
+    monkeypatch.setattr(lexical, "BROADCAST_TERMS", 0)
+    assert run() == few and few
+
+
 def test_fusion_by_ranks_and_ties(spark):
     d = spark.createDataFrame([(1, 10, 1, 0.9), (1, 20, 2, 0.8), (1, 30, 3, 0.2)], "query_id bigint, id bigint, rank int, score double")
     b = spark.createDataFrame([(1, 30, 1, 5.0), (1, 10, 2, 4.0), (1, 40, 3, 3.0)], "query_id bigint, id bigint, rank int, score double")
