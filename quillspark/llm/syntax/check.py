@@ -10,7 +10,7 @@ from quillspark.llm.syntax import grammars, lexers
 from quillspark.llm.syntax.tables import Tables
 
 #: Language of each file extension.
-LANGUAGES = {".py": "python", ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".mjs": "javascript", ".go": "go", ".java": "java", ".json": "json"}
+LANGUAGES = {".py": "python", ".ts": "typescript", ".tsx": "tsx", ".js": "javascript", ".mjs": "javascript", ".go": "go", ".java": "java", ".json": "json"}
 
 
 @functools.cache
@@ -33,6 +33,8 @@ _TOKENS: dict[str, tuple[Callable, re.Pattern]] = {
 
 def first_error(text: str, language: str) -> tuple[int, str] | None:
     """Line (from 1) and token of the first error that no continuation can mend, or None where the text is valid."""
+    if language == "tsx":
+        return _first_error_beside_elements(text)
     cutter, pattern = _TOKENS[language]
     classes, inserts, where = cutter(text)
     at = tables(language).parse(classes, inserts=inserts)
@@ -49,6 +51,26 @@ def first_error(text: str, language: str) -> tuple[int, str] | None:
     return text.count("\n") + 1, ""
 
 
+def _first_error_beside_elements(text: str) -> tuple[int, str] | None:
+    """As ``first_error`` for TypeScript with elements: these must be well formed, and what stands in their braces valid."""
+    if "/>" not in text and "</" not in text:
+        return first_error(text, "typescript")
+    got = lexers.without_elements(text)
+    if got is None:
+        return first_error(text, "typescript") or (text.count("\n") + 1, "<")
+    plain, inside = got
+    error = first_error(plain, "typescript")
+    if error:
+        return error
+    for part in inside:
+        if part and _first_error_beside_elements(f"({part}\n);") and not _COMMENTS.fullmatch(part):
+            return text.count("\n", 0, text.find(part)) + 1, part.strip()[:80]
+    return None
+
+
+_COMMENTS = re.compile(r"(?:\s|//[^\n]*|/\*(?:[^*]|\*(?!/))*+\*/)*")
+
+
 @functools.lru_cache(maxsize=50_000)
 def _template_is_valid(template: str, language: str) -> bool:
     """Whether all expressions inside a template literal are valid."""

@@ -438,6 +438,102 @@ def _skip_type(out: list[str], j: int, pair: dict[int, int]) -> int:
     return n
 
 
+_TAG = re.compile(r"<\s*([A-Za-z_$][\w$.:-]*)?\s*")
+_ATTRIBUTE = re.compile(rf"[A-Za-z_$][\w$:-]*(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|(?=[{{<])))?\s*")
+_CLOSE_TAG = re.compile(r"</\s*([A-Za-z_$][\w$.:-]*)?\s*>")
+_IN_BRACES = re.compile(rf"{_JS_STRING}|{_TEMPLATE}|//[^\n]*|/\*(?:[^*]|\*(?!/))*+\*/|[\s\S]")
+
+
+def _braced(text: str, at: int) -> int:
+    """Place behind the brace that closes the one at ``at``, or -1."""
+    depth = 0
+    while at < len(text):
+        m = _IN_BRACES.match(text, at)
+        depth += {"{": 1, "}": -1}.get(m[0], 0)
+        at = m.end()
+        if depth == 0:
+            return at
+    return -1
+
+
+def element_end(text: str, at: int, inside: list[str]) -> int:
+    """Place behind the element (or fragment) that begins at ``at``, or -1 where it isn't well formed; ``inside`` gets the texts of its braces."""
+    m = _TAG.match(text, at)
+    name, at = m[1], m.end()
+    while True:
+        if text.startswith("/>", at) and name:
+            return at + 2
+        if text.startswith(">", at):
+            at += 1
+            break
+        if text.startswith("{", at) and name:
+            end = _braced(text, at)
+            inside.append(text[at + 1 : end - 1].strip().removeprefix("..."))
+        else:
+            a = _ATTRIBUTE.match(text, at) if name else None
+            if not a:
+                return -1
+            end = a.end()
+            if text[end : end + 1] in ("{", "<") and text[: end].rstrip().endswith("="):
+                begin = end
+                end = _braced(text, end) if text[end] == "{" else element_end(text, end, inside)
+                if end >= 0 and text[begin] == "{":
+                    inside.append(text[begin + 1 : end - 1])
+        if end < 0:
+            return -1
+        at = end
+        while text[at : at + 1].isspace():
+            at += 1
+    while at < len(text):
+        if text.startswith("</", at):
+            m = _CLOSE_TAG.match(text, at)
+            return m.end() if m and m[1] == name else -1
+        if text[at] == "<":
+            at = element_end(text, at, inside)
+        elif text[at] == "{":
+            end = _braced(text, at)
+            inside.append(text[at + 1 : end - 1].strip().removeprefix("..."))
+            at = end
+        elif text[at] in ">}":
+            return -1
+        else:
+            at += 1
+        if at < 0:
+            return -1
+    return -1
+
+
+def without_elements(text: str) -> tuple[str, list[str]] | None:
+    """A ``.tsx`` text with each element replaced by a name of the same number of lines, and the texts of all braces in them; None where one is broken."""
+    out, inside, at, done, before = [], [], 0, 0, ""
+    while at < len(text):
+        m = _SCRIPT.match(text, at)
+        if m is None or m.end() == at:
+            break
+        token = m[1]
+        if token == "<" and _opens_element(text, m.start(1), before):
+            end = element_end(text, m.start(1), inside)
+            if end < 0:
+                return None
+            out += [text[done : m.start(1)], "element_", "/*" + "\n" * text.count("\n", m.start(1), end) + "*/"]
+            at = done = end
+            before = "NAME"
+            continue
+        c = _TS_CLASSES[token]
+        if c != "NL":
+            before = c
+        at = m.end()
+    return "".join(out) + text[done:], inside
+
+
+def _opens_element(text: str, at: int, before: str) -> bool:
+    if before in _OPERAND_ENDS or before in ("LITERAL", "function", "class", "extends"):
+        return False
+    m = _TAG.match(text, at)
+    rest = text[m.end() : m.end() + 8]
+    return not rest.startswith((",", "extends ")) and (m[1] is not None or rest.startswith(">"))
+
+
 def script_tokens(text: str, types: bool) -> tuple[list[str], frozenset[int], list[int]]:
     raw = cut(_SCRIPT, text)
     look = _TS_CLASSES if types else _JS_CLASSES

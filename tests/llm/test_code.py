@@ -35,7 +35,12 @@ VALID = {
         'class A { Object f(Object o) { if (o instanceof String s && s.length() > 1) return switch (o) { case 1, 2 -> "x"; default -> { yield 3; } }; String t = """\n  text "block"\n  """; char c = \'}\'; int x = a > b ? c : d; x >>>= 2; x = y >> 2; Runnable r = () -> { }; BiFunction<A, B, C> g = (a, b) -> a; Supplier<X> s2 = X[]::new; try (var z = open(); w) { } catch (A | B e) { } finally { } synchronized (this) { } assert x > 1 : "m"; int[][] m = new int[3][]; label: while (true) { break label; } do { } while (x < 1); return new A() { int q; }; } }\n',
     ],
 }
+VALID["tsx"] = [
+    "export const A = ({ b }: P): El => (\n  <div className=\"x\" {...b} onClick={() => f<T>(1)}>\n    {/* note */}\n    {b ? <B.C key={1}>it's {b.c}</B.C> : null}\n    <br />\n  </div>\n);\nconst x = a < b ? <></> : c as D;\n",
+    "const f = <T,>(x: T): T => x;\nconst g = <T extends A>(x: T) => { return <p>{x}</p>; };\nlet m: Map<string, B[]> = new Map();\n", "let a = 1 / 2; // </x>\n",
+]
 INVALID = {
+    "tsx": ["const a = <div><p></div>;", "const a = <div>{b c}</div>;", "const a = <div", "const a = (<p>x</p>;", "return <a b={}>"],
     "javascript": ["let a = ;", "if (a) {", "f(a,", "const x: number = 1;", "<<<<<<< HEAD\n", "`open", "/* open", "let s = 'a\n';", "interface A { x: string }", "package a\n\nimport \"x\"\n", "}", "import { a from 'b';", "x = `${a b}`;", "class { }}", "if (a)\n}"],
     "typescript": ["let a: = 1;", "function f(a: string {", "type A = ;", "class A { private }}", "=======\n", "package x.y;\n", "interface A { a: string", "const a = (b: C) => ;"],
     "go": ["func f() {}", "package a\nfunc f( {\n}\n", "package a\n\nfunc f() {\n", "package a\nvar x = []int{1, 2\n}\n", "package a.b;\n", "package a\nfunc f() {\n\tif x {\n\t}\n\telse {\n\t}\n}\n", "package a\n>>>>>>> x\n", "package a\nvar s = \"open\n"],
