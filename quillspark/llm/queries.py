@@ -69,7 +69,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 most similar ids of every id."""
-    return neighbours.neighbours(table(spark, sf_dir, "code_chunks"), latest=F.col("indexed_at"))
+    return neighbours.neighbours(table(spark, sf_dir, "code_chunks"), latest=F.col("indexed_at"), wide=True)
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
