@@ -67,6 +67,7 @@ _HEADER = re.compile(r"\w+[ \t]+(?P<v>[A-Za-z0-9._~+/=-]{12,2000})")
 _BASIC = re.compile(r"\w+[ \t]+(?P<v>[A-Za-z0-9+/]{8,400}={0,2})")
 _CURL = re.compile(r"-+\w+[ =]+[\"']?[\w.@-]+:(?P<v>[^\s\"']{4,200})")
 _KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<body>[\s\S]{0,8000}?)(?:-----END|\Z)")
+_CUT_BODY = re.compile(r"[\sA-Za-z0-9+/=]*")
 _KEY_BODY = re.compile(r"[A-Za-z0-9+/=]{16,}")
 
 _PLACEHOLDER = re.compile(
@@ -172,7 +173,9 @@ def find(text: str, judge: Judge) -> list[tuple[int, int]]:
                 take(m, _value(m), 8)
         elif kind == "block":
             m = _KEY_BLOCK.match(text, at)
-            if m and sum(len(x) for x in _KEY_BODY.findall(m["body"].replace("\\n", "\n"))) >= 32:
+            body = m["body"].replace("\\n", "\n") if m else ""
+            # a block that the chunk's end cuts off may have lost its body
+            if m and (sum(len(x) for x in _KEY_BODY.findall(body)) >= 32 or m.end() == len(text) and _CUT_BODY.fullmatch(body)):
                 spans.append((m.start(), m.end("body")))
     if _JOIN.search(text):
         for m in _JOINED.finditer(text):
