@@ -121,7 +121,9 @@ class Model:
 
 def labelled_words(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, grade, half, words`` of the labelled documents within the bound."""
-    bounded = doc_bands(labels).orderBy(F.xxhash64("doc_id")).limit(MAX_LABELLED)
+    banded = doc_bands(labels).withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id"), 33))
+    share = min(1.0, 1.2 * (MAX_LABELLED + 1000) / max(1, banded.count()))
+    bounded = banded.filter(F.col("h") < int(share * 2**31)).orderBy("h", "doc_id").limit(MAX_LABELLED).drop("h")
     rows = docs.select("doc_id", "text").filter("text is not null").join(bounded, "doc_id")
     rows = rows.select("doc_id", "grade", (F.xxhash64("doc_id", F.lit(7)) % 2).alias("half"), "text")
 
