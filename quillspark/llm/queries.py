@@ -68,8 +68,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 10 most similar ids of every id."""
-    return neighbours.neighbours(table(spark, sf_dir, "code_chunks"), latest=F.col("indexed_at"), wide=True)
+    """The 10 most similar ids of every id, as far as pairs of pivots find them."""
+    return neighbours.neighbours(table(spark, sf_dir, "code_chunks"), latest=F.col("indexed_at"))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
