@@ -1,16 +1,16 @@
 """Most similar vectors for every vector (problem 5): a permutation index.
 
 A vector is represented by its nearest pivots in order. It is posted in the inverted
-files of the pairs among its first ``POST`` pivots; the rows of one file are ranked by
-the footrule distance of their pivot orders, the best ``CANDIDATES`` of each row are
-reranked by exact cosine, and the k best of all files remain.
+files of the pairs among its first ``POST`` pivots; the rows of one file are compared by
+exact cosine, each with all others, and the k best of all files remain.
 
 Pivots come from a bounded sample of the rows (the lowest hashes of ids), their number
 grows with the square root of the row count, so that a file's expected size stays level.
-A file that the sample shows to exceed ``FILE_ROWS`` is divided by a third pivot, and if
-that isn't enough by a hash of the id; within a task a longer file is read in the order
-of its rows' pivots, in overlapping blocks. Equal vectors (by 128 bits of hash) are
-searched once and expanded afterwards.
+A file that the sample shows to exceed ``FILE_ROWS`` is divided by a third pivot, each row
+posted under several. Dense groups, which pivots don't divide rightly, are those whose files
+stay too long then, and those that hold many pivots of a cosine of ``ALIKE``: all pairs of
+such a group are compared, block by block. Equal vectors (by 128 bits of hash) are searched
+once and expanded afterwards.
 
 Defined results: null and zero vectors, those with a null, NaN or infinite component
 and those not of the usual length take no part; an id delivered again counts once (its
@@ -32,12 +32,15 @@ from pyspark.sql import functions as F
 
 #: Pivots kept of a vector; those by whose pairs it is posted, or each by itself in a wide search; those that divide a large file.
 ORDER, POST, WIDE_POST, DIVIDE = 16, 4, 8, 6
-CANDIDATES = 64
 FILE_ROWS = 3000
-#: A wide search posts each vector under its first pivots one by one and reranks five eighths of each file, so many rows at least.
-WIDE_CANDIDATES, WIDE_ROWS = 1024, 30_000
-#: Rows of a file that are compared with the others at once.
-STRIP = 512
+#: A wide search posts each vector under its first pivots one by one.
+WIDE_ROWS = 30_000
+#: Linked by this cosine, more than ``DIVIDE`` pivots make a dense group.
+ALIKE = 0.85
+#: Rows of a block of a dense group, and its blocks at most (blocks grow instead beyond).
+BLOCK_ROWS, BLOCKS = 16_000, 64
+#: Rows of a file that are compared with the others at once, and cosines held for it.
+STRIP, CELLS = 512, 1 << 23
 MAX_PIVOTS = 16_000
 #: Rows that the index is fitted on, at most.
 SAMPLE = 30_000
@@ -73,38 +76,69 @@ def _matrix(column: pa.Array, kind: type, width: int) -> np.ndarray:
 
 
 class Index:
-    """Pivots and the inverted files that must be divided; fitted on at most ``SAMPLE`` rows, so both are bounded."""
+    """Pivots, the inverted files that must be divided, and the dense groups; fitted on at most ``SAMPLE`` rows, so all are bounded."""
 
-    def __init__(self, pivots: np.ndarray, hot: set[int], parts: dict[int, int], wide: bool = False) -> None:
-        self.pivots, self.hot, self.parts, self.wide = pivots, hot, parts, wide
+    def __init__(self, pivots: np.ndarray, hot: set[int], wide: bool = False) -> None:
+        self.pivots, self.hot, self.wide = pivots, hot, wide
         self.rows = WIDE_ROWS if wide else FILE_ROWS
+        self.linked = linked_groups(pivots)
+        #: Dense group of each mark (a file that stays too long, or a group of pivots as a negative number), and each group's blocks.
+        self.dense: dict[int, int] = {}
+        self.blocks: list[int] = []
 
-    def order(self, vectors: np.ndarray) -> np.ndarray:
-        """Numbers of the nearest pivots of each vector, the nearest first."""
+    def order(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the nearest pivots of each vector, the nearest first, and their cosines."""
         k = min(ORDER, len(self.pivots))
         s = vectors @ self.pivots.T
         near = np.argpartition(-s, k - 1, axis=1)[:, :k]
-        return np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable"), 1)
-
-    def files(self, order: np.ndarray, ids: list[str]) -> list[set[int]]:
-        """The inverted files of each row."""
-        out: list[set[int]] = []
-        for row, name in zip(order.tolist(), ids):
+        order = np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable"), 1)
+        return order, np.take_along_axis(s, order, 1)
+
+    def marks(self, order: np.ndarray, cosine: np.ndarray) -> list[tuple[set[int], set[int]]]:
+        """The inverted files of each row, and the groups of linked pivots that it is close to."""
+        groups = np.where(cosine >= ALIKE, self.linked[order], -1)
+        out = []
+        for row, near in zip(order.tolist(), groups.tolist()):
             files = set()
             for i, j in pairs_of(len(row), self.wide):
                 f = file_number(row[i], row[j])
                 if f in self.hot:
-                    for c in row[:DIVIDE]:
-                        if c != row[i] and c != row[j]:
-                            finer = file_number(row[i], row[j], c)
-                            parts = self.parts.get(finer, 1)
-                            files.add(finer + (zlib.crc32(name.encode("utf-8", "surrogatepass")) % parts if parts > 1 else 0))
+                    files.update(file_number(row[i], row[j], c) for c in row[:DIVIDE] if c != row[i] and c != row[j])
                 else:
                     files.add(f)
-            out.append(files)
+            out.append((files, {-1 - g for g in near if g >= 0}))
+        return out
+
+    def files(self, order: np.ndarray, cosine: np.ndarray, ids: list[str]) -> list[list[tuple[int, int]]]:
+        """The inverted files and pairs of blocks of each row, with the row's side there."""
+        out = []
+        for (files, near), name in zip(self.marks(order, cosine), ids):
+            row = [(f, 0) for f in files if f not in self.dense]
+            for group in {self.dense[m] for m in files | near if m in self.dense}:
+                blocks = self.blocks[group]
+                own = zlib.crc32(name.encode("utf-8", "surrogatepass")) % blocks
+                row += [(block_number(group, min(own, other), max(own, other)), int(own > other)) for other in range(blocks)]
+            out.append(row)
         return out
 
 
+def linked_groups(pivots: np.ndarray) -> np.ndarray:
+    """For each pivot the number of its group of more than ``DIVIDE`` pivots that cosines of ``ALIKE`` link, else -1."""
+    group = np.full(len(pivots), -1)
+    rest = np.arange(len(pivots))
+    while len(rest):
+        members, new, rest = [], rest[:1], rest[1:]
+        while len(new):
+            members.extend(new.tolist())
+            reached = np.zeros(len(rest), dtype=bool)
+            for at in range(0, len(new), STRIP):
+                reached |= (pivots[rest] @ pivots[new[at : at + STRIP]].T >= ALIKE).any(1)
+            new, rest = rest[reached], rest[~reached]
+        if len(members) > DIVIDE:
+            group[members] = members[0]
+    return group
+
+
 def pairs_of(order: int, wide: bool = False) -> list[tuple[int, int]]:
     """Places of the pivots under which a vector is posted: pairs of the first ones, in a wide search each by itself."""
     if wide:
@@ -114,39 +148,53 @@ def pairs_of(order: int, wide: bool = False) -> list[tuple[int, int]]:
 
 
 def file_number(*pivots: int) -> int:
-    """One number of the set of pivots, with 12 free bits below (parts of a divided file)."""
+    """One number of the set of pivots."""
     n = 0
     for p in sorted(set(pivots)):
         n = n << 14 | p + 1
-    return n << 12
+    return n
+
+
+def block_number(group: int, low: int, high: int) -> int:
+    """One number of a pair of blocks of a dense group, apart from those of files."""
+    return -1 - ((group * BLOCKS + low) * BLOCKS + high)
 
 
 def fit(sample: np.ndarray, n: int, wide: bool = False) -> Index:
     """The index for ``n`` rows from a sample of their vectors (copies left out)."""
     pivots = sample[: pivot_count(n, wide)]
-    index = Index(pivots, set(), {}, wide)
-    order = index.order(sample)
+    index = Index(pivots, set(), wide)
+    order, cosine = index.order(sample)
     scale = n / len(sample)
 
-    def large(counts: dict[int, int]) -> dict[int, float]:
-        return {f: c * scale for f, c in counts.items() if c * scale > index.rows and c >= 5}
-
-    counts: dict[int, int] = collections.Counter(f for row in order.tolist() for f in {file_number(row[i], row[j]) for i, j in pairs_of(len(row), wide)})
-    index.hot = set(large(counts))
-    if index.hot:
-        finer: dict[int, int] = collections.Counter()
-        for row in order.tolist():
-            seen = set()
-            for i, j in pairs_of(len(row), wide):
-                if file_number(row[i], row[j]) in index.hot:
-                    seen.update(file_number(row[i], row[j], c) for c in row[:DIVIDE] if c != row[i] and c != row[j])
-            finer.update(seen)
-        index.parts = {f: min(4096, math.ceil(rows / index.rows)) for f, rows in large(finer).items()}
+    def large(rows: list[tuple[set[int], set[int]]]) -> set[int]:
+        counts = collections.Counter(f for files, _ in rows for f in files)
+        return {f for f, c in counts.items() if c * scale > index.rows and c >= 5}
+
+    index.hot = large(index.marks(order, cosine))
+    rows = index.marks(order, cosine)
+    # a divided file has three pivots; marks that meet in one row belong to one group
+    long = large(rows) - index.hot if index.hot else set()
+    of: dict[int, int] = {}
+
+    def root(m: int) -> int:
+        while of.setdefault(m, m) != m:
+            of[m] = m = of[of[m]]
+        return m
+
+    dense = [sorted(files & long | near) for files, near in rows]
+    for marks in dense:
+        for m in marks:
+            of[root(m)] = root(marks[0])
+    sizes = collections.Counter(root(marks[0]) for marks in dense if marks)
+    numbers = {r: i for i, r in enumerate(sizes)}
+    index.dense = {m: numbers[root(m)] for m in list(of)}
+    index.blocks = [min(BLOCKS, math.ceil(c * scale / BLOCK_ROWS)) for c in sizes.values()]
     return index
 
 
 def postings(units: DataFrame, index: Index) -> DataFrame:
-    """``file, id, vec, perm``: one row for each inverted file that holds the vector."""
+    """``file, side, id, vec``: one row for each inverted file or pair of blocks that holds the vector."""
     shared = units.sparkSession.sparkContext.broadcast(index)  # at most MAX_PIVOTS rows and files of SAMPLE rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,96 +203,84 @@ def postings(units: DataFrame, index: Index) -> DataFrame:
             for at in range(0, whole.num_rows, 2048):
                 b = whole.slice(at, 2048)
                 ids = b.column(0).to_pylist()
-                order = ix.order(_matrix(b.column(1), np.float32, ix.pivots.shape[1]))
-                files = ix.files(order, ids)
-                perms = pa.array([row.tobytes() for row in order.astype(np.uint16)], pa.binary())
+                files = ix.files(*ix.order(_matrix(b.column(1), np.float32, ix.pivots.shape[1])), ids)
                 rows = pa.array(np.repeat(np.arange(len(ids)), [len(f) for f in files]))
-                flat = pa.array([f for each in files for f in each], pa.int64())
-                yield pa.RecordBatch.from_arrays([flat, b.column(0).take(rows), b.column(1).take(rows), perms.take(rows)], names=["file", "id", "vec", "perm"])
-
-    return units.select("id", "vec").mapInArrow(run, "file bigint, id string, vec binary, perm binary")
-
-
-def footrule_overlap(perm: np.ndarray, first: int, last: int) -> np.ndarray:
-    """Of the rows ``first..last`` with all rows of a file: sum over shared pivots of (length - the later place), which falls as the footrule distance grows."""
-    numbers, local = np.unique(perm, return_inverse=True)
-    local = local.reshape(perm.shape)
-    g, k = perm.shape
-    left = np.zeros((len(numbers), g), dtype=np.uint8)
-    rows = np.arange(g)
-    for r in range(k):
-        left[local[:, r], rows] = k - r
-    out = np.zeros((last - first, g), dtype=np.uint8)
-    for r in range(k):
-        out += np.minimum(left[local[first:last, r]], np.uint8(k - r))
-    return out
-
-
-def search_file(ids: list[str], vectors: np.ndarray, perm: np.ndarray, k: int, least: float | None, candidates: int = CANDIDATES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each row of an inverted file its best neighbours there, as places and cosines: the ``candidates`` nearest by footrule, reranked."""
-    g = len(ids)
-    for first in range(0, g if g > 1 else 0, STRIP):
-        last = min(first + STRIP, g)
-        own = (np.arange(last - first), np.arange(first, last))
-        overlap = footrule_overlap(perm, first, last)
-        overlap[own] = 0
-        cosine = vectors[first:last] @ vectors.T
-        if g - 1 > candidates:
-            # the overlap at which each row has enough candidates, from counts of the few values that there are
-            enough = np.zeros(last - first, dtype=np.uint8)
-            for value in range(int(overlap.max()), 0, -1):
-                short = enough == 0
-                if not short.any():
-                    break
-                enough[short & ((overlap >= value).sum(1) >= candidates)] = value
-            cosine[overlap < enough[:, None]] = -2
-        cosine[own] = -2
-        if least is not None:
-            for i in np.flatnonzero(cosine.max(1) >= least):
-                at = np.flatnonzero(cosine[i] >= least)
-                if len(at) > k:
-                    at = at[np.argsort(-cosine[i, at], kind="stable")[:k]]
-                yield int(first + i), at, cosine[i, at]
-            continue
-        keep = min(k, g - 1)
-        best = np.argpartition(-cosine, keep - 1, axis=1)[:, :keep]
-        for i in range(last - first):
-            at = best[i][cosine[i, best[i]] > -2]
-            yield first + i, at, cosine[i, at]
-
-
-def file_neighbours(posted: DataFrame, dim: int, order: int, k: int, least: float | None, wide: bool = False) -> DataFrame:
+                flat = pa.array([f for each in files for f, _ in each], pa.int64())
+                side = pa.array([s for each in files for _, s in each], pa.int8())
+                yield pa.RecordBatch.from_arrays([flat, side, b.column(0).take(rows), b.column(1).take(rows)], names=["file", "side", "id", "vec"])
+
+    return units.select("id", "vec").mapInArrow(run, "file bigint, side tinyint, id string, vec binary")
+
+
+def strongest(cosine: np.ndarray, k: int, least: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k greatest of each row that reach ``least`` (ties at the end may add to them), by rows."""
+    m, g = cosine.shape
+    bound = np.full(m, -1.5 if least is None else least, dtype=np.float32)
+    full = np.arange(m) if least is None else np.flatnonzero(cosine.max(1) >= bound)
+    part = cosine[full] if len(full) < m else cosine
+    width = g // 32
+    if len(full) and width >= 4 * k:
+        # the k-th greatest of maxima of disjoint columns isn't above the k-th greatest of all
+        heads = part[:, : 32 * width].reshape(len(full), 32, width).max(1)
+        bound[full] = np.maximum(bound[full], np.partition(heads, width - k, axis=1)[:, width - k])
+    elif len(full) and g > k:
+        bound[full] = np.maximum(bound[full], np.partition(part, g - k, axis=1)[:, g - k])
+    rows, columns = np.nonzero(part >= bound[full, None])
+    return full[rows], columns
+
+
+def search_file(vectors: np.ndarray, others: np.ndarray | None, k: int, least: float | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For strips of rows their k best among the others (of the same file where None): row, place and cosine, by rows."""
+    among = vectors if others is None else others
+    strip = max(1, min(STRIP, CELLS // max(1, len(among))))
+    for first in range(0, len(vectors) if len(among) > (others is None) else 0, strip):
+        cosine = vectors[first : first + strip] @ among.T
+        if others is None:
+            own = np.arange(len(cosine))
+            cosine[own, first + own] = -2
+        rows, at = strongest(cosine, k, least)
+        values = cosine[rows, at]
+        by = np.lexsort((at, -values, rows))
+        rows, at, values = rows[by], at[by], values[by]
+        kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+        yield first + rows[kept], at[kept], values[kept]
+
+
+def file_neighbours(posted: DataFrame, dim: int, k: int, least: float | None) -> DataFrame:
     """``id, near``: for each row of each file the (id, cosine) of its best neighbours; files stream through a task one by one."""
-    neighbour = pa.list_(pa.struct([("id", pa.string()), ("cosine", pa.float32())]))
-    longest, candidates = (WIDE_ROWS, WIDE_CANDIDATES) if wide else (FILE_ROWS, CANDIDATES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[list, list, list]] = []
         name = None
         ids_out: list[str] = []
-        near_out: list[list] = []
-
-        def close() -> None:
-            ids = [x for h in held for x in h[0]]
-            vectors = np.frombuffer(b"".join(x for h in held for x in h[1]), dtype=np.float32).reshape(len(ids), dim)
-            perm = np.frombuffer(b"".join(x for h in held for x in h[2]), dtype=np.uint16).reshape(len(ids), order)
-            for i, at, cosine in search_file(ids, vectors, perm, k, least, max(candidates, len(ids) * 5 // 8) if wide else candidates):
-                ids_out.append(ids[i])
-                near_out.append([{"id": ids[j], "cosine": c} for j, c in zip(at.tolist(), cosine.tolist())])
+        lengths: list[int] = []
+        near_ids: list[str] = []
+        near_cosines: list[float] = []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            sides, ids, vecs = ([x for h in held for x in h[c]] for c in range(3))
+            vectors = np.frombuffer(b"".join(vecs), dtype=np.float32).reshape(len(ids), dim)
+            cut = sides.index(1) if 1 in sides else len(ids)
+            # the pair of a block with itself is a file like others
+            whole = name >= 0 or (-1 - name) // BLOCKS % BLOCKS == (-1 - name) % BLOCKS
+            for start, own, base, others in [(0, vectors, 0, None)] if whole else [(0, vectors[:cut], cut, vectors[cut:]), (cut, vectors[cut:], 0, vectors[:cut])]:
+                for rows, at, cosine in search_file(own, others, k, least):
+                    found, counts = np.unique(rows, return_counts=True)
+                    ids_out.extend([ids[start + i] for i in found.tolist()])
+                    lengths.extend(counts.tolist())
+                    near_ids.extend([ids[base + i] for i in at.tolist()])
+                    near_cosines.extend(cosine.tolist())
+                    if len(near_ids) > 40_000:
+                        yield flush()
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(ids_out, pa.string()), pa.array(near_out, neighbour)], names=["id", "near"])
-            ids_out.clear()
-            near_out.clear()
+            pairs = pa.StructArray.from_arrays([pa.array(near_ids, pa.string()), pa.array(near_cosines, pa.float32())], names=["id", "cosine"])
+            offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+            out = pa.RecordBatch.from_arrays([pa.array(ids_out, pa.string()), pa.ListArray.from_arrays(offsets, pairs)], names=["id", "near"])
+            for x in (ids_out, lengths, near_ids, near_cosines):
+                x.clear()
             return out
 
-        def rest() -> None:
-            """Start the next block of a long file with the last rows of this one."""
-            nonlocal held
-            close()
-            flat = [[x for h in held for x in h[c]] for c in range(3)]
-            held = [tuple(c[len(c) - longest // 3 :] for c in flat)]
-
         for b in batches:
             names = b.column(0).to_pylist()
             columns = [b.column(c).to_pylist() for c in (1, 2, 3)]
@@ -255,22 +291,17 @@ def file_neighbours(posted: DataFrame, dim: int, order: int, k: int, least: floa
                     end += 1
                 if names[at] != name:
                     if held:
-                        close()
+                        yield from close()
                         held = []
                     name = names[at]
-                end = min(end, at + longest)
-                if held and sum(len(h[0]) for h in held) + end - at > 2 * longest:
-                    rest()
                 held.append(tuple(c[at:end] for c in columns))
                 at = end
-                if len(ids_out) > 4000:
-                    yield flush()
         if held:
-            close()
+            yield from close()
         yield flush()
 
     schema = "id string, near array<struct<id:string,cosine:float>>"
-    return posted.repartition("file").sortWithinPartitions("file", "perm").select("file", "id", "vec", "perm").mapInArrow(run, schema)
+    return posted.repartition("file").sortWithinPartitions("file", "side", "id").select("file", "side", "id", "vec").mapInArrow(run, schema)
 
 
 def neighbours(
@@ -296,11 +327,10 @@ def neighbours(
     drawn = units.select("vec", h.alias("h"), "id").filter(F.col("h") < int(min(1.0, 1.2 * (SAMPLE + 1000) / n) * 2**31))
     sample = drawn.orderBy("h", "id").limit(SAMPLE).select("vec").toArrow().column("vec").to_pylist()
     index = fit(np.frombuffer(b"".join(dict.fromkeys(sample)), dtype=np.float32).reshape(-1, dim), n, wide)
-    order = min(ORDER, len(index.pivots))
 
     # one row of each vector is searched; the others are told by its id
     groups = keep(units.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("n")))
-    found = file_neighbours(postings(groups, index), dim, order, k, least, wide)
+    found = file_neighbours(postings(groups, index), dim, k, least)
     best = found.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     best = best.select("id", F.slice(F.array_sort("near", lambda a, b: F.when(a.cosine != b.cosine, F.when(a.cosine > b.cosine, -1).otherwise(1)).otherwise(F.when(a.id < b.id, -1).when(a.id > b.id, 1).otherwise(0))), 1, k).alias("near"))
     links = best.select(F.col("id").alias("rep"), F.explode("near").alias("x")).select("rep", F.col("x.id").alias("other"), F.col("x.cosine").cast("double").alias("cosine"))

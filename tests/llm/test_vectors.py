@@ -70,6 +70,31 @@ def test_long_files_are_read_in_blocks(spark, monkeypatch):
     assert rows.count() == 600 and rows.agg(F.max("count")).first()[0] <= 10
 
 
+@pytest.mark.parametrize("blocks", [1, 5])
+@pytest.mark.parametrize("least", [0.9, None])
+def test_close_unequal_vectors_of_a_hot_group(spark, monkeypatch, blocks, least):
+    monkeypatch.setattr(N, "FILE_ROWS", 60)
+    monkeypatch.setattr(N, "BLOCK_ROWS", -(-700 // blocks))
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.standard_normal((1, 16)) + 0.1 * rng.standard_normal((700, 16)), clustered(1200)[:, :16]])
+    s, near = truth(x)
+    rows = N.neighbours(frame(spark, x), least=least).filter("id < 'v00700'").collect()
+    got = {(int(r["id"][1:]), int(r["neighbour"][1:])) for r in rows}
+    want = {(i, j) for i in range(700) for j in near[i] if s[i, j] >= 0.9}
+    assert len(want & got) / len(want) > 0.99 and len(got) <= 7000
+
+
+def test_files_that_a_third_pivot_leaves_long(spark, monkeypatch):
+    monkeypatch.setattr(N, "FILE_ROWS", 60)
+    monkeypatch.setattr(N, "ALIKE", 2.0)  # by their length alone
+    monkeypatch.setattr(N, "pivot_count", lambda n, wide=False: 6)
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((1, 16)) + 0.1 * rng.standard_normal((600, 16))
+    s, near = truth(x)
+    got = {(int(r["id"][1:]), int(r["neighbour"][1:])) for r in N.neighbours(frame(spark, x)).collect()}
+    assert len({(i, j) for i in range(600) for j in near[i]} & got) > 0.99 * 6000
+
+
 def test_odd_vectors(spark):
     good = clustered(80)
     bad = [("n", None), ("z", [0.0] * 32), ("nan", [float("nan")] * 32), ("short", [1.0, 2.0]), ("null", [None] + [1.0] * 31), ("empty", [])]
