@@ -8,8 +8,9 @@ repository or across; plain clusters across repositories are copies of third-par
 streams of hardly anything but literals are data dumps. Minified and bundled files show in
 their one- and two-letter identifiers, lock files in their names and keys.
 
-Only two representatives of a band's bucket are compared with its members (the least and
-the greatest file), so a bucket costs as many pairs as it has members, whatever its size.
+The members of a band's bucket are first compared with two representatives (the least and
+the greatest file), as many pairs as members. Those that no verified link covers then are
+compared with every member of their buckets whose number of shingles allows the similarity.
 
 Defined results: chunks of null repo, path or content take no part; repeated chunks count
 once; documents, configuration and declarations (``.md .yaml .json .sql`` ...) are judged
@@ -162,14 +163,8 @@ def described(chunks: DataFrame) -> DataFrame:
 def verified(files: DataFrame, keys: str, sets: str, across: bool) -> DataFrame:
     """``repo_id, path, partners``: files with a verified partner in their bands (in another repository where ``across``)."""
     me = F.struct("repo_id", "path")
-    posted = files.select(me.alias("f"), F.explode(keys).alias("key"))
-    ends = posted.groupBy("key").agg(F.min("f").alias("low"), F.max("f").alias("high")).filter("low <> high")
-    pairs = posted.join(ends, "key").select("f", F.explode(F.array("low", "high")).alias("g")).filter("f <> g")
-    if across:
-        pairs = pairs.filter("f.repo_id <> g.repo_id")
-    pairs = pairs.distinct()
+    posted = files.select(me.alias("f"), F.length(sets).alias("n"), F.explode(keys).alias("key"))
     held = files.filter(F.length(sets) > 0).select(me.alias("x"), F.col(sets).alias("s"))
-    both = pairs.join(held.select(F.col("x").alias("f"), F.col("s").alias("a")), "f").join(held.select(F.col("x").alias("g"), F.col("s").alias("b")), "g")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -180,8 +175,20 @@ def verified(files: DataFrame, keys: str, sets: str, across: bool) -> DataFrame:
                 alike.append(common >= SIMILARITY * (len(a) + len(b) - common))
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(alike, pa.bool_())], names=["repo_id", "path", "alike"])
 
-    checked = both.select("f.repo_id", "f.path", "a", "b").mapInArrow(run, "repo_id string, path string, alike boolean")
-    return checked.filter("alike").groupBy("repo_id", "path").agg(F.count("*").alias("partners"))
+    def alike(pairs: DataFrame) -> DataFrame:
+        if across:
+            pairs = pairs.filter("f.repo_id <> g.repo_id")
+        pairs = pairs.select("f", "g").distinct()
+        both = pairs.join(held.select(F.col("x").alias("f"), F.col("s").alias("a")), "f").join(held.select(F.col("x").alias("g"), F.col("s").alias("b")), "g")
+        return both.select("f.repo_id", "f.path", "a", "b").mapInArrow(run, "repo_id string, path string, alike boolean").filter("alike").select("repo_id", "path")
+
+    ends = posted.groupBy("key").agg(F.min("f").alias("low"), F.max("f").alias("high")).filter("low <> high")
+    covered = cut_lineage(alike(posted.join(ends, "key").select("f", F.explode(F.array("low", "high")).alias("g")).filter("f <> g")))
+    # the ends of a bucket say nothing of the links among its other members
+    open_ = posted.join(ends.select("key"), "key").join(covered.select(me.alias("f")).distinct(), "f", "left_anti")
+    others = posted.select("key", F.col("f").alias("g"), F.col("n").alias("m"))
+    rest = alike(open_.join(others, "key").filter(F.col("f") != F.col("g")).filter(F.least("n", "m") >= SIMILARITY * F.greatest("n", "m")))
+    return covered.union(rest).groupBy("repo_id", "path").agg(F.count("*").alias("partners"))
 
 
 def not_handwritten(chunks: DataFrame) -> DataFrame:
