@@ -21,10 +21,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.tokenizer import TOKENIZER_DIR, encoder
+from quillspark.session import cut_lineage
 
 #: Below this many characters per subword a string is no word or name.
 NATURAL = 3.3
@@ -213,13 +214,13 @@ _COVER = re.compile(r"(-----BEGIN [A-Z0-9 ]+-----|\\.|[\r\n]+|[\"']\s*\+\s*[\"']
 
 
 def findings(chunks: DataFrame, folder: str = TOKENIZER_DIR) -> DataFrame:
-    """``id, repo_id, line, start, length`` of each value of each row (rows delivered again included)."""
+    """``id, repo_id, indexed_at, line, start, length`` of each value of each row (rows delivered again included)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(folder)
         for b in batches:
             rows, line, start, length = [], [], [], []
-            for i, (first, text) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
+            for i, (first, text) in enumerate(zip(b.column(3).to_pylist(), b.column(4).to_pylist())):
                 for a, e in find(text, judge):
                     rows.append(i)
                     line.append((1 if first is None else first) + text.count("\n", 0, a))
@@ -227,12 +228,12 @@ def findings(chunks: DataFrame, folder: str = TOKENIZER_DIR) -> DataFrame:
                     length.append(e - a)
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(at), b.column(1).take(at), pa.array(line, pa.int32()), pa.array(start, pa.int32()), pa.array(length, pa.int32())], names=["id", "repo_id", "line", "start", "length"]
+                [*(b.column(c).take(at) for c in range(3)), pa.array(line, pa.int32()), pa.array(start, pa.int32()), pa.array(length, pa.int32())], names=["id", "repo_id", "indexed_at", "line", "start", "length"]
             )
             judge.encoder.tidy()
 
-    rows = chunks.filter("id is not null and content is not null").select("id", "repo_id", "start_line", "content")
-    return rows.mapInArrow(run, "id string, repo_id string, line int, start int, length int")
+    rows = chunks.filter("id is not null and content is not null").select("id", "repo_id", "indexed_at", "start_line", "content")
+    return rows.mapInArrow(run, "id string, repo_id string, indexed_at string, line int, start int, length int")
 
 
 def redacted(chunks: DataFrame, folder: str = TOKENIZER_DIR) -> DataFrame:
@@ -262,7 +263,22 @@ def found_lines(chunks: DataFrame) -> DataFrame:
 
 
 def by_run(chunks: DataFrame, stats: DataFrame) -> DataFrame:
-    """``repo_id, run_id, finished_at, reported, found``: what the last run of each repository reported against what its chunks hold."""
-    found = findings(chunks).select("repo_id", "id", "line").distinct().groupBy("repo_id").agg(F.count("*").alias("found"))
-    last = stats.filter("repo_id is not null").groupBy("repo_id").agg(F.max_by(F.struct("run_id", "finished_at", "redactions"), F.struct("finished_at", "run_id")).alias("r"))
-    return last.select("repo_id", "r.run_id", "r.finished_at", F.col("r.redactions").alias("reported")).join(found, "repo_id", "left").fillna(0, ["found"])
+    """``repo_id, run_id, finished_at, reported, found``: what each run reported against the values in the chunks that it wrote.
+
+    A chunk belongs to the first run of its repository that finished at or after its ``indexed_at``. Runs and chunk rows
+    delivered again count once. Values of chunks without a run (indexed after the last one, at no known time, or in a
+    repository without runs) stand in one row of their repository with a null run.
+    """
+    values = findings(chunks).select("repo_id", "id", "indexed_at", "start", "length").distinct().withColumn("at", F.expr("try_cast(indexed_at as timestamp)"))
+    found = values.groupBy("repo_id", "at").agg(F.count("*").alias("found"))
+    latest = F.max(F.struct("finished_at", "redactions")).alias("r")
+    runs = cut_lineage(stats.groupBy("repo_id", "run_id").agg(latest).select("repo_id", "run_id", "r.finished_at", F.col("r.redactions").alias("reported")))
+    ended = runs.filter("finished_at is not null and run_id is not null").select("repo_id", F.col("finished_at").cast("timestamp").alias("at"), "run_id", F.lit(0).cast("bigint").alias("found"))
+    both = ended.union(found.select("repo_id", "at", F.lit(None).cast("string").alias("run_id"), "found"))
+    # from the latest time back: the last run seen is the first that finished afterwards; rows of no time come before all runs
+    later = Window.partitionBy("repo_id").orderBy(F.desc_nulls_first("at"), F.desc_nulls_last("run_id")).rowsBetween(Window.unboundedPreceding, 0)
+    owned = both.withColumn("run_id", F.last("run_id", True).over(later)).groupBy("repo_id", "run_id").agg(F.sum("found").alias("found"))
+    mine = owned.filter("run_id is not null").withColumnsRenamed({"repo_id": "repo", "run_id": "run"})
+    each = runs.join(mine, runs.repo_id.eqNullSafe(mine.repo) & (runs.run_id == mine.run), "left").drop("repo", "run").fillna(0, ["found"])
+    none = owned.filter("run_id is null and found > 0")
+    return each.unionByName(none, allowMissingColumns=True)

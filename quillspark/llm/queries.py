@@ -47,7 +47,7 @@ def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Redactions that the last run of each repository reported, and those found."""
+    """Redactions that each run reported, and the values found in the chunks that it wrote."""
     return credentials.by_run(table(spark, sf_dir, "code_chunks"), table(spark, sf_dir, "index_stats"))
 
 

@@ -184,6 +184,15 @@ def test_lines_of_values(spark):
     assert credentials.found_lines(df.limit(0)).collect() == []
 
 
+def test_values_by_run(spark):
+    two = 'a = {"password": "qX7!vR2$kL9z", "api_key": "Zk8Wq3Rt7Yp2Lm5N"}'
+    rows = [("a", "r", "2025-01-01T00:00:00+00:00", two), ("a", "r", "2025-01-01T00:00:00+00:00", two), ("b", "r", "2025-01-02T00:00:00+00:00", two), ("c", "r", "2025-01-09T00:00:00+00:00", two), ("d", "s", None, two)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "id string, repo_id string, indexed_at string, content string, start_line int")
+    stats = spark.createDataFrame([("1", "r", 5, "2025-01-01 12:00:00"), ("1", "r", 5, "2025-01-01 12:00:00"), ("2", "r", None, "2025-01-02 00:00:00"), ("3", "r", 1, "2025-01-03 00:00:00"), ("4", "t", 0, None)], "run_id string, repo_id string, redactions int, finished_at string")
+    got = {(r["repo_id"], r["run_id"]): (r["reported"], r["found"]) for r in credentials.by_run(df, stats.withColumn("finished_at", F.col("finished_at").cast("timestamp"))).collect()}
+    assert got == {("r", "1"): (5, 2), ("r", "2"): (None, 2), ("r", "3"): (1, 0), ("r", None): (None, 2), ("s", None): (None, 2), ("t", "4"): (0, 0)}
+
+
 def test_redacted_code_still_parses(spark, sf):
     chunks = spark.read.parquet(f"{sf}/code_chunks.parquet")
     hidden = credentials.redacted(chunks).select("id", F.col("content").alias("masked"))
