@@ -98,9 +98,9 @@ def p8_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by source, language, kind and band."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "doc_kind")
-    return p8_bands(spark, sf_dir).filter("n_words >= 40").join(docs, "doc_id").groupBy("source", "lang", "doc_kind", "band").agg(F.count("*").alias("n_docs"))
+    """All documents by source, language, kind and band, short ones too; the band of a null text is null."""
+    by = ("source", "lang", "doc_kind")
+    return reading.reading_bands(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"), *by).groupBy(*by, "band").agg(F.count("*").alias("n_docs"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

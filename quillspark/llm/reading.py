@@ -188,8 +188,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     return Model(grades, centre, scale, _logistic((x - centre) / scale, y), usual)
 
 
-def reading_bands(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, n_words, band`` of every document; words as split at white space."""
+def reading_bands(docs: DataFrame, labels: DataFrame, *also: str) -> DataFrame:
+    """``doc_id, n_words, band`` of every document, with the columns ``also``; words as split at white space."""
     model = fit(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_WORDS words
 
@@ -203,6 +203,7 @@ def reading_bands(docs: DataFrame, labels: DataFrame) -> DataFrame:
             else:
                 found = m.bands([prose_words(t) if t else [] for t in texts])
                 bands = [None if t is None else BANDS[k] for t, k in zip(texts, found)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(bands, pa.string())], names=["doc_id", "n_words", "band"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(bands, pa.string()), *b.columns[2:]], names=["doc_id", "n_words", "band", *also])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_words bigint, band string")
+    rows = docs.select("doc_id", "text", *also)
+    return rows.mapInArrow(run, ", ".join(["doc_id bigint, n_words bigint, band string", *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in also)]))

@@ -153,3 +153,14 @@ def test_labels_are_cleaned(spark):
     rows = [(1, "a", " Basic ", "2024-01-01"), (1, "a", "standard", "2024-01-02"), (2, "a", "basic", None), (2, "b", "demanding", None), (3, "a", None, None), (4, "a", "basic", None), (4, "b", "basic", None), (4, "c", "demanding", None)]
     df = spark.createDataFrame(rows, "doc_id bigint, rater string, band string, rated_at string").withColumn("rated_at", F.to_timestamp("rated_at"))
     assert sorted((r["doc_id"], r["grade"]) for r in reading.doc_bands(df).collect()) == [(1, 1), (4, 0)]
+
+
+def test_profile_counts_every_document(spark, sf):
+    from quillspark.llm import queries
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    by = ["source", "lang", "doc_kind"]
+    want = {tuple(r) for r in docs.groupBy(*by).count().collect()}
+    profile = queries.p8_profile(spark, sf)
+    assert {tuple(r) for r in profile.groupBy(*by).sum("n_docs").collect()} == want
+    assert (profile.filter("band is null").groupBy().sum("n_docs").first()[0] or 0) == docs.filter("text is null").count()
