@@ -46,3 +46,8 @@ def test_sync_and_slices(spark, engine):
 def test_settings_are_checked():
     with pytest.raises(ValueError):
         Settings(min_dense_score=0.9)
+
+
+def test_prompts_hold_whole_texts(spark, engine):
+    hits = spark.createDataFrame([(1, 1, "a.py", "x" * 5000), (1, 2, "b.py", "y" * 3000)], "query_id int, rank int, ref string, text string")
+    assert engine.prompts(hits).first()["prompt"] == "[1] a.py\n" + "x" * 5000 + "\n\n[2] b.py\n" + "y" * 3000
