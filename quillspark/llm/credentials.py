@@ -44,13 +44,13 @@ _SIGNS = re.compile(
     r"|(?P<bearer>bearer[ \t])|(?P<basic>basic[ \t])|(?P<user>(?:-u|--user)[ =])|(?P<block>-----begin )|(?P<call>(?:login|connect|sign_?in|basic_?auth|open_?session)\()"
 )
 _HEAD = re.compile(r"[\w.-]*$")
-_LITERAL = r"(?:\"(?P<v1>[^\"\n]{4,400})\"|'(?P<v2>[^'\n]{4,400})'|`(?P<v3>[^`\n]{4,400})`)"
+_LITERAL = r"(?:\"(?P<v1>[^\"\n]{4,}+)\"|'(?P<v2>[^'\n]{4,}+)'|`(?P<v3>[^`\n]{4,}+)`)"
 # Behind the name: its end, the type, the sign of assignment (or the comma of a call), a fallback's call, and the literal.
 _QUOTED = re.compile(
     rf"(?P<tail>\w*+)[\"'\]]*+(?:\s*:\s*[\w<>\[\]?.]+(?=\s*=))?\s*+(?:=>|:=|\?\?=|=|:|,|is\b)[\s(\\>|-]*+(?:[\w.]+(?:\[[^\]\n]*\]|\([^()\n]*\))?\s*(?:\|\||\?\?|or\b)\s*)?"
     rf"(?:[\w.]+\(\s*[\"'][^\"'\n]*[\"']\s*,\s*)?[rbuRBU]?{_LITERAL}"
 )
-_BARE = re.compile(r"(?P<tail>\w*+)[ \t]*+(?:=|:|is\b)[ \t]*+(?P<v>[^\s\"'`,;<>(){}\[\]][^\s\"'`;<>]{5,400})")
+_BARE = re.compile(r"(?P<tail>\w*+)[ \t]*+(?:=|:|is\b)[ \t]*+(?P<v>[^\s\"'`,;<>(){}\[\]][^\s\"'`;<>]{5,}+)")
 _CALL = re.compile(rf"(?i)(?:login|authenticate|auth|connect|sign_?in|basic_?auth|open_?session|credentials?)\(\s*[\"'][^\"'\n]*[\"']\s*,\s*{_LITERAL}")
 _VENDOR = re.compile(
     r"(?:gh[pousr]_[A-Za-z0-9]{20,255}|github_pat_[A-Za-z0-9_]{20,255}|glpat-[A-Za-z0-9_-]{16,64}|xox[abeoprs]-[A-Za-z0-9-]{10,250}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,250}"
@@ -59,15 +59,15 @@ _VENDOR = re.compile(
 )
 _IN_WORD = re.compile(r"[A-Za-z0-9_/+]")
 _JOIN = re.compile(r"[\"']\s*\+\s*[\"']")
-_JOINED = re.compile(r"(?:\"[^\"\n]{1,400}\"|'[^'\n]{1,400}')(?:\s*\+\s*(?:\"[^\"\n]{1,400}\"|'[^'\n]{1,400}'))+")
+_JOINED = re.compile(r"(?:\"[^\"\n]++\"|'[^'\n]++')(?:\s*+\+\s*+(?:\"[^\"\n]++\"|'[^'\n]++'))+")
 _BEFORE_JOINED = re.compile(r"(?P<tail>\w*+)[\"'\]]*+(?:\s*:\s*[\w<>\[\]]+)?\s*(?::=|=|:|,)[\s(]*$")
 _PARTS = re.compile(r"\"([^\"\n]*)\"|'([^'\n]*)'")
-_USERINFO = re.compile(r"://[^\s/:@\"'`<>]{0,100}:(?P<v>[^\s/@\"'`<>]{3,200})@[\w\[]")
-_CONNECTION = re.compile(r"(?P<tail>\s*)=\s*(?P<v>[^;\"'`\s]{4,400})[;\"'`]")
-_HEADER = re.compile(r"\w+[ \t]+(?P<v>[A-Za-z0-9._~+/=-]{12,2000})")
-_BASIC = re.compile(r"\w+[ \t]+(?P<v>[A-Za-z0-9+/]{8,400}={0,2})")
-_CURL = re.compile(r"-+\w+[ =]+[\"']?[\w.@-]+:(?P<v>[^\s\"']{4,200})")
-_KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<body>[\s\S]{0,8000}?)(?:-----END|\Z)")
+_USERINFO = re.compile(r"://[^\s/:@\"'`<>]*+:(?P<v>[^\s/@\"'`<>]{3,}+)@[\w\[]")
+_CONNECTION = re.compile(r"(?P<tail>\s*)=\s*(?P<v>[^;\"'`\s]{4,}+)[;\"'`]")
+_HEADER = re.compile(r"\w+[ \t]+(?P<v>[A-Za-z0-9._~+/=-]{12,}+)")
+_BASIC = re.compile(r"\w+[ \t]+(?P<v>[A-Za-z0-9+/]{8,}+={0,2})")
+_CURL = re.compile(r"-+\w+[ =]+[\"']?[\w.@-]+:(?P<v>[^\s\"']{4,}+)")
+_KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<body>[\s\S]*?)(?:-----END|\Z)")
 _CUT_BODY = re.compile(r"[\sA-Za-z0-9+/=]*")
 _KEY_BODY = re.compile(r"[A-Za-z0-9+/=]{16,}")
 
