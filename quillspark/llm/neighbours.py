@@ -1,28 +1,28 @@
 """Most similar vectors for every vector (problem 5): a permutation index.
 
-A vector is represented by its nearest pivots in order. It is posted in the inverted
-files of the pairs among its first ``POST`` pivots; the rows of one file are compared by
-exact cosine, each with all others, and the k best of all files remain.
-
-Pivots come from a bounded sample of the rows (the lowest hashes of ids), their number
-grows with the square root of the row count, so that a file's expected size stays level.
-A file that the sample shows to exceed ``FILE_ROWS`` is divided by a third pivot, each row
-posted under several. Dense groups, which pivots don't divide rightly, are those whose files
-stay too long then, and those that hold many pivots of a cosine of ``ALIKE``: all pairs of
-such a group are compared, block by block. Equal vectors (by 128 bits of hash) are searched
-once and expanded afterwards.
+A vector is represented by its ``PREFIX`` nearest pivots in order and posted in the inverted
+file of each. Every file is reranked whole: the exact cosine of all its rows with one another,
+a matrix product, costs less than their footrule distances would, and a cut by footrule before
+it loses neighbours (README). The k best of all files of a row remain.
+
+Pivots come from a bounded sample of the rows (the lowest hashes of ids); there are ``sqrt(2 n)``
+of them, so that files grow with the square root of the number of rows, and the whole work with
+its power 1.5. A pivot's nearness is its cosine less ``BALANCE`` times the cosine that the
+sample's nearest rows exceed: pivots in the middle of a dense group would otherwise draw the
+whole group. Files are thereby of like size; one of more than ``BLOCK_ROWS``, by the exact
+counts of all rows, is compared in pairs of blocks, nothing left out. Equal vectors (by 128
+bits of hash) are searched once and expanded afterwards.
 
 Defined results: null and zero vectors, those with a null, NaN or infinite component
 and those not of the usual length take no part; an id delivered again counts once (its
-latest row); neighbours of equal cosine are taken by id. Copies: of the vectors equal
-to one vector each is linked with the ``k`` next of them. Empty tables give empty ones.
+latest row); neighbours of equal cosine are taken by id, those at the last place in a fixed
+order. Copies: of the vectors equal to one vector each is linked with the ``k`` next of them.
+Empty tables give empty ones.
 """
 
 from __future__ import annotations
 
-import collections
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,25 +30,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Pivots kept of a vector; those by whose pairs it is posted, or each by itself in a wide search; those that divide a large file.
-ORDER, POST, WIDE_POST, DIVIDE = 16, 4, 8, 6
-FILE_ROWS = 3000
-#: A wide search posts each vector under its first pivots one by one.
-WIDE_ROWS = 30_000
-#: Linked by this cosine, more than ``DIVIDE`` pivots make a dense group.
-ALIKE = 0.85
-#: Rows of a block of a dense group, and its blocks at most (blocks grow instead beyond).
-BLOCK_ROWS, BLOCKS = 16_000, 64
+from quillspark.session import cut_lineage, parallelism
+
+#: Nearest pivots by which a vector is posted.
+PREFIX = 9
+#: Share of a pivot's usual nearness that is taken off.
+BALANCE = 0.8
+#: Rows of a file that one task compares at once; files beyond are compared in pairs of blocks.
+BLOCK_ROWS = 50_000
 #: Rows of a file that are compared with the others at once, and cosines held for it.
-STRIP, CELLS = 512, 1 << 23
-MAX_PIVOTS = 16_000
-#: Rows that the index is fitted on, at most.
+STRIP, CELLS = 512, 1 << 22
+MAX_PIVOTS = 65_536
+#: Rows that the index is fitted on: so many, or twice the pivots, so at most 131,072.
 SAMPLE = 30_000
+#: Rows of one shuffle partition of postings.
+PARTITION_ROWS = 100_000
+#: Equal vectors from which on the copies are matched through a broadcast; at most one in so many rows is such a vector.
+HOT_COPIES = 20_000
 
 
-def pivot_count(n: int, wide: bool = False) -> int:
-    """Pivots for ``n`` rows; fewer, and so longer files, in a wide search."""
-    return min(MAX_PIVOTS, 48 + math.isqrt(n) // 10 if wide else 64 + math.isqrt(n) // 4)
+def pivot_count(n: int) -> int:
+    """Pivots for ``n`` different vectors."""
+    return max(1, min(MAX_PIVOTS, math.isqrt(2 * n)))
 
 
 def unit_vectors(rows: DataFrame, id_column: str, vector_column: str, latest: Column) -> DataFrame:
@@ -71,145 +74,58 @@ def unit_vectors(rows: DataFrame, id_column: str, vector_column: str, latest: Co
     return rows.mapInArrow(run, "id string, vec binary, at string").groupBy("id").agg(F.max_by("vec", F.struct("at", "vec")).alias("vec"))
 
 
-def _matrix(column: pa.Array, kind: type, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(-1, width)
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float32).reshape(-1, width)
 
 
 class Index:
-    """Pivots, the inverted files that must be divided, and the dense groups; fitted on at most ``SAMPLE`` rows, so all are bounded."""
-
-    def __init__(self, pivots: np.ndarray, hot: set[int], wide: bool = False) -> None:
-        self.pivots, self.hot, self.wide = pivots, hot, wide
-        self.rows = WIDE_ROWS if wide else FILE_ROWS
-        self.linked = linked_groups(pivots)
-        #: Dense group of each mark (a file that stays too long, or a group of pivots as a negative number), and each group's blocks.
-        self.dense: dict[int, int] = {}
-        self.blocks: list[int] = []
-
-    def order(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the nearest pivots of each vector, the nearest first, and their cosines."""
-        k = min(ORDER, len(self.pivots))
-        s = vectors @ self.pivots.T
-        near = np.argpartition(-s, k - 1, axis=1)[:, :k]
-        order = np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable"), 1)
-        return order, np.take_along_axis(s, order, 1)
-
-    def marks(self, order: np.ndarray, cosine: np.ndarray) -> list[tuple[set[int], set[int]]]:
-        """The inverted files of each row, and the groups of linked pivots that it is close to."""
-        groups = np.where(cosine >= ALIKE, self.linked[order], -1)
-        out = []
-        for row, near in zip(order.tolist(), groups.tolist()):
-            files = set()
-            for i, j in pairs_of(len(row), self.wide):
-                f = file_number(row[i], row[j])
-                if f in self.hot:
-                    files.update(file_number(row[i], row[j], c) for c in row[:DIVIDE] if c != row[i] and c != row[j])
-                else:
-                    files.add(f)
-            out.append((files, {-1 - g for g in near if g >= 0}))
-        return out
-
-    def files(self, order: np.ndarray, cosine: np.ndarray, ids: list[str]) -> list[list[tuple[int, int]]]:
-        """The inverted files and pairs of blocks of each row, with the row's side there."""
-        out = []
-        for (files, near), name in zip(self.marks(order, cosine), ids):
-            row = [(f, 0) for f in files if f not in self.dense]
-            for group in {self.dense[m] for m in files | near if m in self.dense}:
-                blocks = self.blocks[group]
-                own = zlib.crc32(name.encode("utf-8", "surrogatepass")) % blocks
-                row += [(block_number(group, min(own, other), max(own, other)), int(own > other)) for other in range(blocks)]
-            out.append(row)
-        return out
-
-
-def linked_groups(pivots: np.ndarray) -> np.ndarray:
-    """For each pivot the number of its group of more than ``DIVIDE`` pivots that cosines of ``ALIKE`` link, else -1."""
-    group = np.full(len(pivots), -1)
-    rest = np.arange(len(pivots))
-    while len(rest):
-        members, new, rest = [], rest[:1], rest[1:]
-        while len(new):
-            members.extend(new.tolist())
-            reached = np.zeros(len(rest), dtype=bool)
-            for at in range(0, len(new), STRIP):
-                reached |= (pivots[rest] @ pivots[new[at : at + STRIP]].T >= ALIKE).any(1)
-            new, rest = rest[reached], rest[~reached]
-        if len(members) > DIVIDE:
-            group[members] = members[0]
-    return group
-
-
-def pairs_of(order: int, wide: bool = False) -> list[tuple[int, int]]:
-    """Places of the pivots under which a vector is posted: pairs of the first ones, in a wide search each by itself."""
-    if wide:
-        return [(i, i) for i in range(min(WIDE_POST, order))]
-    used = min(POST, order)
-    return [(i, j) for i in range(used) for j in range(i + 1, used)] or [(0, 0)]
-
-
-def file_number(*pivots: int) -> int:
-    """One number of the set of pivots."""
-    n = 0
-    for p in sorted(set(pivots)):
-        n = n << 14 | p + 1
-    return n
-
-
-def block_number(group: int, low: int, high: int) -> int:
-    """One number of a pair of blocks of a dense group, apart from those of files."""
-    return -1 - ((group * BLOCKS + low) * BLOCKS + high)
-
-
-def fit(sample: np.ndarray, n: int, wide: bool = False) -> Index:
-    """The index for ``n`` rows from a sample of their vectors (copies left out)."""
-    pivots = sample[: pivot_count(n, wide)]
-    index = Index(pivots, set(), wide)
-    order, cosine = index.order(sample)
-    scale = n / len(sample)
-
-    def large(rows: list[tuple[set[int], set[int]]]) -> set[int]:
-        counts = collections.Counter(f for files, _ in rows for f in files)
-        return {f for f, c in counts.items() if c * scale > index.rows and c >= 5}
-
-    index.hot = large(index.marks(order, cosine))
-    rows = index.marks(order, cosine)
-    # a divided file has three pivots; marks that meet in one row belong to one group
-    long = large(rows) - index.hot if index.hot else set()
-    of: dict[int, int] = {}
-
-    def root(m: int) -> int:
-        while of.setdefault(m, m) != m:
-            of[m] = m = of[of[m]]
-        return m
-
-    dense = [sorted(files & long | near) for files, near in rows]
-    for marks in dense:
-        for m in marks:
-            of[root(m)] = root(marks[0])
-    sizes = collections.Counter(root(marks[0]) for marks in dense if marks)
-    numbers = {r: i for i, r in enumerate(sizes)}
-    index.dense = {m: numbers[root(m)] for m in list(of)}
-    index.blocks = [min(BLOCKS, math.ceil(c * scale / BLOCK_ROWS)) for c in sizes.values()]
-    return index
-
-
-def postings(units: DataFrame, index: Index) -> DataFrame:
-    """``file, side, id, vec``: one row for each inverted file or pair of blocks that holds the vector."""
-    shared = units.sparkSession.sparkContext.broadcast(index)  # at most MAX_PIVOTS rows and files of SAMPLE rows
+    """Pivots and what is taken off the cosines with each; fitted on a bounded sample."""
+
+    def __init__(self, sample: np.ndarray, pivots: int) -> None:
+        self.pivots = sample[:pivots]
+        self.prefix = min(PREFIX, pivots)
+        usual = max(1, len(sample) * self.prefix // pivots)
+        parts = [np.partition(sample @ self.pivots[at : at + STRIP].T, len(sample) - usual, axis=0)[len(sample) - usual] for at in range(0, pivots, STRIP)]
+        self.taken = BALANCE * np.concatenate(parts)
+
+    def order(self, vectors: np.ndarray) -> np.ndarray:
+        """Numbers of the nearest pivots of each vector, the nearest first."""
+        s = self.taken - vectors @ self.pivots.T
+        near = np.argpartition(s, self.prefix - 1, axis=1)[:, : self.prefix]
+        return np.take_along_axis(near, np.argsort(np.take_along_axis(s, near, 1), axis=1, kind="stable"), 1)
+
+
+def ordered(groups: DataFrame, index: Index) -> DataFrame:
+    """``id, n, vec, files``: each vector with its nearest pivots in order."""
+    shared = groups.sparkSession.sparkContext.broadcast(index)  # at most MAX_PIVOTS rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                b = whole.slice(at, 2048)
-                ids = b.column(0).to_pylist()
-                files = ix.files(*ix.order(_matrix(b.column(1), np.float32, ix.pivots.shape[1])), ids)
-                rows = pa.array(np.repeat(np.arange(len(ids)), [len(f) for f in files]))
-                flat = pa.array([f for each in files for f, _ in each], pa.int64())
-                side = pa.array([s for each in files for _, s in each], pa.int8())
-                yield pa.RecordBatch.from_arrays([flat, side, b.column(0).take(rows), b.column(1).take(rows)], names=["file", "side", "id", "vec"])
-
-    return units.select("id", "vec").mapInArrow(run, "file bigint, side tinyint, id string, vec binary")
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                order = ix.order(_matrix(b.column(2), ix.pivots.shape[1]))
+                files = pa.ListArray.from_arrays(pa.array(np.arange(0, order.size + 1, ix.prefix), pa.int32()), pa.array(order.ravel(), pa.int32()))
+                yield pa.RecordBatch.from_arrays([*b.columns, files], names=["id", "n", "vec", "files"])
+
+    return groups.select("id", "n", "vec").mapInArrow(run, "id string, n bigint, vec binary, files array<int>")
+
+
+def postings(rows: DataFrame, n: int) -> DataFrame:
+    """``file, low, high, side, no, vec``: a row for each inverted file that holds the vector, or for each pair of blocks of a large one."""
+    posted = rows.select(F.explode("files").alias("file"), "no", "vec")
+    sizes = posted.groupBy("file").count().filter(F.col("count") > BLOCK_ROWS).select(F.col("file"), F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks"))
+    if n * PREFIX <= BLOCK_ROWS or not sizes.head(1):
+        zero = F.lit(0)
+        out = posted.select("file", zero.alias("low"), zero.alias("high"), F.lit(0).cast("tinyint").alias("side"), "no", "vec")
+    else:
+        # one row for a pivot at most, so at most MAX_PIVOTS
+        cut = posted.join(F.broadcast(sizes), "file", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        own = F.pmod(F.xxhash64("no"), F.col("blocks")).cast("int")
+        each = cut.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        out = each.select("file", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("tinyint").alias("side"), "no", "vec")
+    parts = max(parallelism(rows.sparkSession), n * PREFIX // PARTITION_ROWS)
+    return out.repartition(parts, "file", "low", "high").sortWithinPartitions("file", "low", "high", "side", "no")
 
 
 def strongest(cosine: np.ndarray, k: int, least: float | None) -> tuple[np.ndarray, np.ndarray]:
@@ -225,7 +141,7 @@ def strongest(cosine: np.ndarray, k: int, least: float | None) -> tuple[np.ndarr
         bound[full] = np.maximum(bound[full], np.partition(heads, width - k, axis=1)[:, width - k])
     elif len(full) and g > k:
         bound[full] = np.maximum(bound[full], np.partition(part, g - k, axis=1)[:, g - k])
-    rows, columns = np.nonzero(part >= bound[full, None])
+    rows, columns = np.divmod(np.flatnonzero(part >= bound[full, None]), g)
     return full[rows], columns
 
 
@@ -246,74 +162,106 @@ def search_file(vectors: np.ndarray, others: np.ndarray | None, k: int, least: f
         yield first + rows[kept], at[kept], values[kept]
 
 
+NEAR = "no bigint, near array<bigint>, cosines array<float>"
+
+
+def _lists(rows: np.ndarray, near: np.ndarray, cosines: np.ndarray) -> pa.RecordBatch:
+    """One row of ``NEAR`` for each run of equal numbers."""
+    starts = np.flatnonzero(np.diff(rows, prepend=rows[0] - 1)) if len(rows) else np.zeros(0, np.int64)
+    offsets = pa.array(np.append(starts, len(rows)), pa.int32())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(rows[starts], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(near, pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(cosines, pa.float32()))], names=["no", "near", "cosines"]
+    )
+
+
 def file_neighbours(posted: DataFrame, dim: int, k: int, least: float | None) -> DataFrame:
-    """``id, near``: for each row of each file the (id, cosine) of its best neighbours; files stream through a task one by one."""
+    """The best neighbours of each row within each of its files; files stream through a task one by one."""
+
+    def close(held: list[pa.RecordBatch], name: tuple[int, int, int]) -> Iterator[pa.RecordBatch]:
+        numbers = np.concatenate([b.column(4).to_numpy() for b in held])
+        vectors = np.concatenate([_matrix(b.column(5), dim) for b in held])
+        cut = int(sum((b.column(3).to_numpy() == 0).sum() for b in held))
+        whole = name[1] == name[2]
+        for start, own, base, others in [(0, vectors, 0, None)] if whole else [(0, vectors[:cut], cut, vectors[cut:]), (cut, vectors[cut:], 0, vectors[:cut])]:
+            for rows, at, cosine in search_file(own, others, k, least):
+                if len(rows):
+                    yield _lists(numbers[start + rows], numbers[base + at], cosine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[list, list, list]] = []
+        held: list[pa.RecordBatch] = []
         name = None
-        ids_out: list[str] = []
-        lengths: list[int] = []
-        near_ids: list[str] = []
-        near_cosines: list[float] = []
-
-        def close() -> Iterator[pa.RecordBatch]:
-            sides, ids, vecs = ([x for h in held for x in h[c]] for c in range(3))
-            vectors = np.frombuffer(b"".join(vecs), dtype=np.float32).reshape(len(ids), dim)
-            cut = sides.index(1) if 1 in sides else len(ids)
-            # the pair of a block with itself is a file like others
-            whole = name >= 0 or (-1 - name) // BLOCKS % BLOCKS == (-1 - name) % BLOCKS
-            for start, own, base, others in [(0, vectors, 0, None)] if whole else [(0, vectors[:cut], cut, vectors[cut:]), (cut, vectors[cut:], 0, vectors[:cut])]:
-                for rows, at, cosine in search_file(own, others, k, least):
-                    found, counts = np.unique(rows, return_counts=True)
-                    ids_out.extend([ids[start + i] for i in found.tolist()])
-                    lengths.extend(counts.tolist())
-                    near_ids.extend([ids[base + i] for i in at.tolist()])
-                    near_cosines.extend(cosine.tolist())
-                    if len(near_ids) > 40_000:
-                        yield flush()
-
-        def flush() -> pa.RecordBatch:
-            pairs = pa.StructArray.from_arrays([pa.array(near_ids, pa.string()), pa.array(near_cosines, pa.float32())], names=["id", "cosine"])
-            offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
-            out = pa.RecordBatch.from_arrays([pa.array(ids_out, pa.string()), pa.ListArray.from_arrays(offsets, pairs)], names=["id", "near"])
-            for x in (ids_out, lengths, near_ids, near_cosines):
-                x.clear()
-            return out
-
         for b in batches:
-            names = b.column(0).to_pylist()
-            columns = [b.column(c).to_pylist() for c in (1, 2, 3)]
+            if not b.num_rows:
+                continue
+            keys = np.stack([b.column(c).to_numpy() for c in range(3)])
+            ends = [*(np.flatnonzero((np.diff(keys) != 0).any(0)) + 1).tolist(), b.num_rows]
             at = 0
-            while at < len(names):
-                end = at + 1
-                while end < len(names) and names[end] == names[at]:
-                    end += 1
-                if names[at] != name:
-                    if held:
-                        yield from close()
-                        held = []
-                    name = names[at]
-                held.append(tuple(c[at:end] for c in columns))
+            for end in ends:
+                new = tuple(keys[:, at].tolist())
+                if new != name and held:
+                    yield from close(held, name)
+                    held = []
+                name = new
+                held.append(b.slice(at, end - at))
                 at = end
         if held:
-            yield from close()
-        yield flush()
+            yield from close(held, name)
+
+    return posted.select("file", "low", "high", "side", "no", "vec").mapInArrow(run, NEAR)
+
+
+def merged(found: DataFrame, k: int) -> DataFrame:
+    """The k best of all files of each row; a neighbour met in several files counts once."""
+
+    def best(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        lengths = np.concatenate([np.diff(b.column(1).offsets.to_numpy()) for b in held])
+        rows = np.repeat(np.concatenate([b.column(0).to_numpy() for b in held]), lengths)
+        near = np.concatenate([b.column(1).flatten().to_numpy() for b in held])
+        cosines = np.concatenate([b.column(2).flatten().to_numpy() for b in held])
+        by = np.lexsort((-cosines, near, rows))
+        rows, near, cosines = rows[by], near[by], cosines[by]
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows[1:] != rows[:-1]) | (near[1:] != near[:-1])
+        rows, near, cosines = rows[new], near[new], cosines[new]
+        by = np.lexsort((near, -cosines, rows))
+        rows, near, cosines = rows[by], near[by], cosines[by]
+        kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+        return _lists(rows[kept], near[kept], cosines[kept])
 
-    schema = "id string, near array<struct<id:string,cosine:float>>"
-    return posted.repartition("file").sortWithinPartitions("file", "side", "id").select("file", "side", "id", "vec").mapInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            # the last row's lists may go on in the next batch
+            numbers = b.column(0).to_numpy()
+            cut = int(np.searchsorted(numbers, numbers[-1]))
+            if cut:
+                yield best([*held, b.slice(0, cut)])
+                held = []
+            elif held and held[-1].column(0)[-1].as_py() != numbers[0]:
+                yield best(held)
+                held = []
+            held.append(b.slice(cut))
+        if held:
+            yield best(held)
 
+    return found.repartition("no").sortWithinPartitions("no").mapInArrow(run, NEAR)
 
-def neighbours(
-    rows: DataFrame, id_column: str = "id", vector_column: str = "dense", latest: Column | None = None, k: int = 10, least: float | None = None, checkpoint: bool = True, wide: bool = False
-) -> DataFrame:
-    """``id, neighbour, cosine``: the k most similar other ids of each, those of a cosine of at least ``least`` where given.
 
-    Pairs of pivots find close neighbours (cosines of 0.9 and more); far ones, as all k nearest of a row among unrelated
-    vectors are, need a ``wide`` search, whose work grows as the number of rows to the power 1.5.
-    """
-    from quillspark.session import cut_lineage
+def copies(units: DataFrame, groups: DataFrame) -> DataFrame:
+    """``no, id, n``: every id whose vector others have too; vectors of very many copies don't meet in one task."""
+    prints = [F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), "vec").alias("h2")]
+    several = groups.filter("n > 1").select("no", "n", *prints)
+    each = units.select("id", *prints)
+    hot = F.broadcast(several.filter(F.col("n") > HOT_COPIES))
+    return each.join(hot, ["h1", "h2"]).unionByName(each.join(hot, ["h1", "h2"], "left_anti").join(several.filter(F.col("n") <= HOT_COPIES), ["h1", "h2"])).select("no", "id", "n")
 
+
+def neighbours(
+    rows: DataFrame, id_column: str = "id", vector_column: str = "dense", latest: Column | None = None, k: int = 10, least: float | None = None, checkpoint: bool = True
+) -> DataFrame:
+    """``id, neighbour, cosine``: the k most similar other ids of each, those of a cosine of at least ``least`` where given."""
     keep = cut_lineage if checkpoint else (lambda df: df)
     spark = rows.sparkSession
     units = keep(unit_vectors(rows, id_column, vector_column, F.coalesce(latest.cast("string") if latest is not None else F.lit(""), F.lit(""))))
@@ -323,34 +271,33 @@ def neighbours(
     dim, n = usual[0]["bytes"] // 4, usual[0]["count"]
     units = units.filter(F.length("vec") == 4 * dim)
     # the share of hashes that holds a little more than the sample is cut out first, so that no task sorts more than that
+    size = max(SAMPLE, 2 * pivot_count(n))
     h = F.shiftrightunsigned(F.xxhash64("id"), 33)
-    drawn = units.select("vec", h.alias("h"), "id").filter(F.col("h") < int(min(1.0, 1.2 * (SAMPLE + 1000) / n) * 2**31))
-    sample = drawn.orderBy("h", "id").limit(SAMPLE).select("vec").toArrow().column("vec").to_pylist()
-    index = fit(np.frombuffer(b"".join(dict.fromkeys(sample)), dtype=np.float32).reshape(-1, dim), n, wide)
-
-    # one row of each vector is searched; the others are told by its id
-    groups = keep(units.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("n")))
-    found = file_neighbours(postings(groups, index), dim, k, least)
-    best = found.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    best = best.select("id", F.slice(F.array_sort("near", lambda a, b: F.when(a.cosine != b.cosine, F.when(a.cosine > b.cosine, -1).otherwise(1)).otherwise(F.when(a.id < b.id, -1).when(a.id > b.id, 1).otherwise(0))), 1, k).alias("near"))
-    links = best.select(F.col("id").alias("rep"), F.explode("near").alias("x")).select("rep", F.col("x.id").alias("other"), F.col("x.cosine").cast("double").alias("cosine"))
-
-    prints = [F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), "vec").alias("h2")]
-    several = groups.filter("n > 1").select(F.col("id").alias("rep"), "n", *prints)
-    twins = keep(units.select("id", *prints).join(several, ["h1", "h2"]).select("id", "rep", "n"))
+    drawn = units.select("vec", h.alias("h"), "id").filter(F.col("h") < int(min(1.0, 1.2 * (size + 1000) / n) * 2**31))
+    sample = drawn.orderBy("h", "id").limit(size).select("vec").toArrow().column("vec").to_pylist()
+    different = list(dict.fromkeys(sample))
+    index = Index(np.frombuffer(b"".join(different), dtype=np.float32).reshape(-1, dim), min(len(different), pivot_count(n * len(different) // len(sample))))
+
+    # one row of each vector is searched; the others are told by its number
+    each = units.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    groups = keep(ordered(each, index).withColumn("no", F.monotonically_increasing_id()))
+    best = merged(file_neighbours(postings(groups.select("no", "vec", "files"), n), dim, k, least), k)
+    links = best.select("no", F.explode(F.arrays_zip("near", "cosines")).alias("x")).select("no", F.col("x.near").alias("other"), F.col("x.cosines").cast("double").alias("cosine"))
+
+    twins = keep(copies(units, groups))
     # the copies of one vector: each with the next k, in parts of bounded size
     parted = twins.withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / F.lit(1000))))
-    ring = Window.partitionBy("rep", "part").orderBy("id")
+    ring = Window.partitionBy("no", "part").orderBy("id")
     after = [F.lead("id", i).over(ring) for i in range(1, k + 1)]
     equal = parted.select("id", F.array(*after).alias("after")).select("id", F.explode("after").alias("neighbour"), F.lit(1.0).alias("cosine")).filter("neighbour is not null")
     equal = equal.union(equal.select("neighbour", "id", "cosine"))
 
-    # links between representatives hold for their copies: all of a group of up to k, the k least of a larger one
-    first = twins.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).filter(F.col("r") <= k).select("rep", "id", "n")
-    here = first.filter(F.col("n") <= k)
-    a = links.join(here.select("rep", F.col("id").alias("a"), "n"), "rep", "left").join(twins.filter(F.col("n") > k).select("rep").distinct(), "rep", "left_anti")
-    b = a.join(first.select(F.col("rep").alias("other"), F.col("id").alias("b")), "other", "left")
-    spread = b.select(F.coalesce("a", "rep").alias("id"), F.coalesce("b", "other").alias("neighbour"), "cosine")
+    # links between vectors hold for their copies: all of a group of up to k, the k least of a larger one
+    first = twins.withColumn("r", F.row_number().over(Window.partitionBy("no").orderBy("id"))).filter(F.col("r") <= k).groupBy("no").agg(F.collect_list("id").alias("several"))
+    named = groups.select("no", "id", "n").join(first, "no", "left").select("no", "n", F.coalesce("several", F.array("id")).alias("ids"))
+    here = named.filter(F.col("n") <= k).select("no", F.col("ids").alias("mine"))
+    there = named.select(F.col("no").alias("other"), F.col("ids").alias("theirs"))
+    spread = links.join(here, "no").join(there, "other").select(F.explode("mine").alias("id"), "theirs", "cosine").select("id", F.explode("theirs").alias("neighbour"), "cosine")
     ranked = spread.union(equal).withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")))
     return ranked.filter(F.col("r") <= k).select("id", "neighbour", "cosine")
 
@@ -358,3 +305,20 @@ def neighbours(
 def linked_pairs(near: DataFrame) -> DataFrame:
     """``id_a, id_b``: each pair once, the smaller id first."""
     return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+
+
+def recall(rows: DataFrame, k: int = 10, every: int = 50) -> DataFrame:
+    """``n_queries, found, wanted, recall``: of the ids whose hash ``every`` divides, how many of the k nearest (exact search, in blocks) the index finds.
+
+    A neighbour of the same cosine (to six digits) as one of the nearest counts as that one.
+    """
+    from quillspark.operators.dense import dense_topk
+
+    units = unit_vectors(rows, "id", "dense", F.coalesce("indexed_at", F.lit("")))
+    asked = F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(every)) == 0
+    latest = rows.filter("id is not null and dense is not null").groupBy("id").agg(F.max_by("dense", F.struct("indexed_at", "dense")).alias("vector")).join(units.select("id"), "id", "left_semi")
+    exact = dense_topk(latest.filter(asked).select(F.col("id").alias("query_id"), "vector"), latest, k)
+    worst = exact.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("wanted"))
+    got = neighbours(rows, latest=F.col("indexed_at"), k=k).filter(asked).select(F.col("id").alias("query_id"), "cosine")
+    hits = worst.join(got, "query_id", "left").groupBy("query_id", "wanted").agg(F.count_if(F.col("cosine") >= F.col("least") - 1e-6).alias("found"))
+    return hits.agg(F.count("*").alias("n_queries"), F.sum("found").alias("found"), F.sum("wanted").alias("wanted")).withColumn("recall", F.round(F.col("found") / F.col("wanted"), 4))

@@ -68,10 +68,15 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 10 most similar ids of every id, as far as pairs of pivots find them."""
+    """The 10 most similar ids of every id."""
     return neighbours.neighbours(table(spark, sf_dir, "code_chunks"), latest=F.col("indexed_at"))
 
 
+def p5_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the 10 nearest, by exact search of every fiftieth id, that ``p5_neighbours`` finds."""
+    return neighbours.recall(table(spark, sf_dir, "code_chunks"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return tokenizer.encode_corpus(table(spark, sf_dir, "documents"))
@@ -104,7 +109,7 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_errors, p1_rates, p2_found, p2_kinds, p3_found, p3_redacted, p3_by_run, p4_found, p4_pieces, p5_found, p5_neighbours, p6_ids, p7_packed, p7_fill, p8_found, p8_bands, p8_profile)}
+    return {f.__name__: f for f in (p1_found, p1_errors, p1_rates, p2_found, p2_kinds, p3_found, p3_redacted, p3_by_run, p4_found, p4_pieces, p5_found, p5_neighbours, p5_recall, p6_ids, p7_packed, p7_fill, p8_found, p8_bands, p8_profile)}
 
 
 P4_FOUND = """

@@ -32,16 +32,23 @@ def test_recall_of_close_pairs(spark):
     assert len(got - want) <= 0.02 * len(got)
 
 
-def test_wide_search_finds_far_neighbours(spark):
+def test_far_neighbours(spark):
     x = np.random.default_rng(8).standard_normal((1500, 24))
     _, near = truth(x)
     got = {}
-    for r in N.neighbours(frame(spark, x), wide=True).collect():
+    for r in N.neighbours(frame(spark, x)).collect():
         got.setdefault(r["id"], set()).add(int(r["neighbour"][1:]))
     recall = np.mean([len(got[f"v{i:05d}"] & set(near[i])) / 10 for i in range(len(x))])
     assert recall >= 0.9
 
 
+def test_recall_of_the_registered_search(spark, sf):
+    from quillspark.llm import queries
+
+    row = queries.p5_recall(spark, "/root/testdata/sf0.01").first()
+    assert row["n_queries"] > 30 and row["recall"] >= 0.9
+
+
 def test_copies_share_links(spark):
     x = clustered(400)
     x = np.concatenate([x, x[:1], x[:1], x[5:6]])
@@ -62,37 +69,41 @@ def test_a_third_of_all_rows_alike(spark):
     assert alike.count() == 450 and alike.agg(F.min("count")).first()[0] == 10
 
 
-def test_long_files_are_read_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(N, "FILE_ROWS", 60)
-    rng = np.random.default_rng(2)
-    x = rng.standard_normal((1, 16)) + 0.05 * rng.standard_normal((600, 16))
-    rows = N.neighbours(frame(spark, x), least=0.9).groupBy("id").count()
-    assert rows.count() == 600 and rows.agg(F.max("count")).first()[0] <= 10
-
-
-@pytest.mark.parametrize("blocks", [1, 5])
+@pytest.mark.parametrize("block", [40, 50_000])
 @pytest.mark.parametrize("least", [0.9, None])
-def test_close_unequal_vectors_of_a_hot_group(spark, monkeypatch, blocks, least):
-    monkeypatch.setattr(N, "FILE_ROWS", 60)
-    monkeypatch.setattr(N, "BLOCK_ROWS", -(-700 // blocks))
+def test_close_unequal_vectors_of_a_hot_group(spark, monkeypatch, block, least):
+    monkeypatch.setattr(N, "BLOCK_ROWS", block)
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.standard_normal((1, 16)) + 0.1 * rng.standard_normal((700, 16)), clustered(1200)[:, :16]])
     s, near = truth(x)
     rows = N.neighbours(frame(spark, x), least=least).filter("id < 'v00700'").collect()
     got = {(int(r["id"][1:]), int(r["neighbour"][1:])) for r in rows}
     want = {(i, j) for i in range(700) for j in near[i] if s[i, j] >= 0.9}
-    assert len(want & got) / len(want) > 0.99 and len(got) <= 7000
+    assert len(want & got) / len(want) > 0.95 and len(got) <= 7000
+
 
+def test_blocks_of_a_large_file_lose_nothing(spark, monkeypatch):
+    x = clustered(800)
+    whole = {tuple(r)[:2] for r in N.neighbours(frame(spark, x)).collect()}
+    monkeypatch.setattr(N, "BLOCK_ROWS", 30)
+    assert {tuple(r)[:2] for r in N.neighbours(frame(spark, x)).collect()} == whole
 
-def test_files_that_a_third_pivot_leaves_long(spark, monkeypatch):
-    monkeypatch.setattr(N, "FILE_ROWS", 60)
-    monkeypatch.setattr(N, "ALIKE", 2.0)  # by their length alone
-    monkeypatch.setattr(N, "pivot_count", lambda n, wide=False: 6)
+
+def test_files_of_a_hot_group_stay_level():
     rng = np.random.default_rng(4)
-    x = rng.standard_normal((1, 16)) + 0.1 * rng.standard_normal((600, 16))
-    s, near = truth(x)
-    got = {(int(r["id"][1:]), int(r["neighbour"][1:])) for r in N.neighbours(frame(spark, x)).collect()}
-    assert len({(i, j) for i in range(600) for j in near[i]} & got) > 0.99 * 6000
+    x = np.concatenate([rng.standard_normal((1, 64)) + 0.3 * rng.standard_normal((3000, 64)), rng.standard_normal((6000, 64))]).astype(np.float32)
+    x = rng.permutation(x / np.linalg.norm(x, axis=1)[:, None])
+    index = N.Index(x, N.pivot_count(len(x)))
+    sizes = np.bincount(index.order(x).ravel(), minlength=len(index.pivots))
+    assert sizes.max() < 3 * sizes.mean()
+
+
+def test_many_copies_are_matched_apart(spark, monkeypatch):
+    x = clustered(120)
+    df = frame(spark, np.concatenate([x, np.repeat(x[:1], 60, 0)]))
+    whole = sorted(N.neighbours(df, least=0.9).collect())
+    monkeypatch.setattr(N, "HOT_COPIES", 10)
+    assert sorted(N.neighbours(df, least=0.9).collect()) == whole
 
 
 def test_odd_vectors(spark):
