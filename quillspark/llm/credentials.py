@@ -31,7 +31,7 @@ from quillspark.session import cut_lineage
 NATURAL = 3.3
 #: Below this, letters of both cases alone are random too.
 RANDOM = 2.3
-MASK = "*"
+MASK = "x"
 
 # Names of credentials, in several languages, as parts of identifiers (lower case).
 _NAME = (
@@ -53,15 +53,20 @@ _QUOTED = re.compile(
 _BARE = re.compile(r"(?P<tail>\w*+)[ \t]*+(?:=|:|is\b)[ \t]*+(?P<v>[^\s\"'`,;<>(){}\[\]][^\s\"'`;<>]{5,}+)")
 _CALL = re.compile(rf"(?i)(?:login|authenticate|auth|connect|sign_?in|basic_?auth|open_?session|credentials?)\(\s*[\"'][^\"'\n]*[\"']\s*,\s*{_LITERAL}")
 _VENDOR = re.compile(
-    r"(?:gh[pousr]_[A-Za-z0-9]{20,255}|github_pat_[A-Za-z0-9_]{20,255}|glpat-[A-Za-z0-9_-]{16,64}|xox[abeoprs]-[A-Za-z0-9-]{10,250}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,250}"
-    r"|(?:sk|pk|rk)-(?:[a-z]+-)?[A-Za-z0-9_-]{20,250}|npm_[A-Za-z0-9]{30,64}|SG\.[A-Za-z0-9_-]{16,64}\.[A-Za-z0-9_-]{16,80}|AIza[A-Za-z0-9_-]{30,45}|(?:AKIA|ASIA)[A-Z0-9]{12,24}|hf_[A-Za-z0-9]{30,64}"
-    r"|pypi-[A-Za-z0-9_-]{40,250}|dop_v1_[a-f0-9]{40,80}|eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{16,})"
+    r"(?:gh[pousr]_[A-Za-z0-9]{20,}+|github_pat_[A-Za-z0-9_]{20,}+|glpat-[A-Za-z0-9_-]{16,}+|xox[abeoprs]-[A-Za-z0-9-]{10,}+|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}+"
+    r"|(?:sk|pk|rk)-(?:[a-z]+-)?[A-Za-z0-9_-]{20,}+|npm_[A-Za-z0-9]{30,}+|SG\.[A-Za-z0-9_-]{16,}+\.[A-Za-z0-9_-]{16,}+|AIza[A-Za-z0-9_-]{30,}+|(?:AKIA|ASIA)[A-Z0-9]{12,}+|hf_[A-Za-z0-9]{30,}+"
+    r"|pypi-[A-Za-z0-9_-]{40,}+|dop_v1_[a-f0-9]{40,}+|eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{16,}+)"
 )
 _IN_WORD = re.compile(r"[A-Za-z0-9_/+]")
-_JOIN = re.compile(r"[\"']\s*\+\s*[\"']")
-_JOINED = re.compile(r"(?:\"[^\"\n]++\"|'[^'\n]++')(?:\s*+\+\s*+(?:\"[^\"\n]++\"|'[^'\n]++'))+")
-_BEFORE_JOINED = re.compile(r"(?P<tail>\w*+)[\"'\]]*+(?:\s*:\s*[\w<>\[\]]+)?\s*(?::=|=|:|,)[\s(]*$")
-_PARTS = re.compile(r"\"([^\"\n]*)\"|'([^'\n]*)'")
+_ONE = r"[rbuRBU]?(?:\"[^\"\n]++\"|'[^'\n]++'|`[^`\n]++`)"
+# Literals that stand for one value: put together by a sign or by nothing, or listed for a join.
+_JOIN = re.compile(r"[\"'`]\s*\+?\s*[rbuRBU]?[\"'`]|[\"'`]\s*,\s*[\"'`]")
+_JOINED = re.compile(rf"{_ONE}(?:\s*+\+?\s*+{_ONE})+")
+_LISTED = re.compile(rf"(?P<open>(?:[\"'][\"']\s*\.\s*|strings\.|String\.)?[jJ]oin\(\s*(?:[\"'][\"']\s*,\s*)?(?:[\[(]|\[\]string\{{)?|\[)\s*(?P<list>{_ONE}(?:\s*+,\s*+{_ONE})+)\s*,?\s*(?P<close>[\])}}]*\s*(?:\.\s*join\()?)")
+_BEFORE_JOINED = re.compile(r"(?P<tail>\w*+)[\"'\]]*+(?:\s*:\s*[\w<>\[\]]+)?\s*(?::=|=|:|,)[\s(]*(?:new\s+\w+\(|[\w.]+\()?\s*$")
+_PARTS = re.compile(r"\"([^\"\n]*)\"|'([^'\n]*)'|`([^`\n]*)`")
+# What opens a list that is joined, left out before the sign of assignment is looked for.
+_OPENS = re.compile(r"(?:[\"'][\"']\s*\.\s*|strings\.|String\.)?[jJ]oin\(\s*(?:[\"'][\"']\s*,\s*)?(?:\[\]string\{|[\[(])?\s*$|\[\s*$")
 _USERINFO = re.compile(r"://[^\s/:@\"'`<>]*+:(?P<v>[^\s/@\"'`<>]{3,}+)@[\w\[]")
 _CONNECTION = re.compile(r"(?P<tail>\s*)=\s*(?P<v>[^;\"'`\s]{4,}+)[;\"'`]")
 _HEADER = re.compile(r"\w+[ \t]+(?P<v>[A-Za-z0-9._~+/=-]{12,}+)")
@@ -175,20 +180,23 @@ def find(text: str, judge: Judge) -> list[tuple[int, int]]:
         elif kind == "block":
             m = _KEY_BLOCK.match(text, at)
             body = m["body"].replace("\\n", "\n") if m else ""
+            runs = [x for x in _KEY_BODY.findall(body) if set(x) != {MASK}]
             # a block that the chunk's end cuts off may have lost its body
-            if m and (sum(len(x) for x in _KEY_BODY.findall(body)) >= 32 or m.end() == len(text) and _CUT_BODY.fullmatch(body)):
+            if m and (sum(map(len, runs)) >= 32 or m.end() == len(text) and _CUT_BODY.fullmatch(body) and set(body.split()) <= set(runs)):
                 spans.append((m.start(), m.end("body")))
     if _JOIN.search(text):
-        for m in _JOINED.finditer(text):
-            value = "".join(a or b for a, b in _PARTS.findall(m[0]))
+        lists = [(m.span("list"), m["list"]) for m in _LISTED.finditer(text) if "oin(" in m["open"] or "join" in m["close"]]
+        for (start, end), literals in lists + [(m.span(), m[0]) for m in _JOINED.finditer(text)]:
+            value = "".join(a or b or c for a, b, c in _PARTS.findall(literals))
             if not _VENDOR.fullmatch(value):
-                near = [n for n in names if m.start() - 120 <= n[1] <= m.start()]
-                before = near and _BEFORE_JOINED.match(text[near[-1][1] : m.start()])
+                near = [n for n in names if start - 120 <= n[1] <= start]
+                head = text[near[-1][1] : start] if near else ""
+                before = near and _BEFORE_JOINED.match(_OPENS.sub("", head))
                 if not before or not _good_name(_HEAD.search(text, max(0, near[-1][0] - 60), near[-1][0])[0], text[slice(*near[-1])], before["tail"]) or not judge.usable(value):
                     continue
             elif _PLACEHOLDER.match(value):
                 continue
-            spans.append(m.span())
+            spans.append((start, end))
     spans.sort()
     out: list[tuple[int, int]] = []
     for a, b in spans:
@@ -200,7 +208,11 @@ def find(text: str, judge: Judge) -> list[tuple[int, int]]:
 
 
 def redact(text: str, spans: list[tuple[int, int]]) -> str:
-    """The text with each value masked by as many signs; quotes, signs of joining, escapes and line breaks inside stay."""
+    """The text with each value masked by as many signs, so that every offset stays and code and configuration parse as before.
+
+    Quotes, what joins literals, line breaks with the indentation and comment signs behind them, and the opening line of
+    a key block stay; a whole escape is masked, and the mask is a plain scalar in every configuration format.
+    """
     out, at = [], 0
     for a, b in spans:
         out.append(text[at:a])
@@ -210,7 +222,10 @@ def redact(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(out)
 
 
-_COVER = re.compile(r"(-----BEGIN [A-Z0-9 ]+-----|\\.|[\r\n]+|[\"']\s*\+\s*[\"']|[\"'])|[^\\\r\n\"'-]+|-")
+_COVER = re.compile(
+    r"(-----BEGIN [A-Z0-9 ]+-----|[\"'`]\s*[+,.&|]*\s*(?:\\\s*)?[rbuRBU]?[\"'`]|\\?[\r\n]+[ \t]*(?:#+|//+|\*(?!/)|--(?!-)|;|>)?[ \t]*|[\"'`])"
+    r"|\\(?:u\{[^}]*\}|u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|x[0-9A-Fa-f]{2}|N\{[^}]*\}|[0-7]{1,3}|[^\r\n])|[^\\\r\n\"'`]"
+)
 
 
 def findings(chunks: DataFrame, folder: str = TOKENIZER_DIR) -> DataFrame:

@@ -44,7 +44,7 @@ MAX_PIVOTS = 65_536
 #: Rows that the index is fitted on: so many, or twice the pivots, so at most 131,072.
 SAMPLE = 30_000
 #: Rows of one shuffle partition of postings.
-PARTITION_ROWS = 100_000
+PARTITION_ROWS = 30_000
 #: Equal vectors from which on the copies are matched through a broadcast; at most one in so many rows is such a vector.
 HOT_COPIES = 20_000
 
