@@ -6,7 +6,7 @@ import functools
 import re
 from collections.abc import Callable
 
-from quillspark.llm.syntax import grammars, lexers
+from quillspark.llm.syntax import grammars, lexers, second
 from quillspark.llm.syntax.tables import Tables
 
 #: Language of each file extension.
@@ -38,6 +38,8 @@ def first_error(text: str, language: str) -> tuple[int, str] | None:
     cutter, pattern = _TOKENS[language]
     classes, inserts, where = cutter(text)
     at = tables(language).parse(classes, inserts=inserts)
+    if at < 0:
+        at = _second(text, language, classes, inserts, where, pattern)
     if at < 0 and language in ("javascript", "typescript") and "${" in text:
         at = _templates(text, language, classes)
     if at < 0:
@@ -51,6 +53,27 @@ def first_error(text: str, language: str) -> tuple[int, str] | None:
     return text.count("\n") + 1, ""
 
 
+def _second(text: str, language: str, classes: list[str], inserts: frozenset[int], where: list[int], pattern: re.Pattern) -> int:
+    if language == "python":
+        tokens = lexers.cut(pattern, "\n" + text)
+        return second.python_error(classes, [tokens[w] for w in where])
+    if language == "java":
+        return second.java_error(classes)
+    return second.script_error(classes, inserts) if language in ("javascript", "typescript") else -1
+
+
+def _is_expression(text: str) -> bool:
+    """Whether a text is one Python expression, as the fields of f-strings hold it."""
+    classes, inserts, where = lexers.python_tokens(f"({text}\n)\n")
+    if tables("python").parse(classes, inserts=inserts) >= 0:
+        return False
+    tokens = lexers.cut(lexers._PYTHON, f"\n({text}\n)\n")
+    return second.python_error(classes, [tokens[w] for w in where]) < 0
+
+
+second.use(_is_expression)
+
+
 def _first_error_beside_elements(text: str) -> tuple[int, str] | None:
     """As ``first_error`` for TypeScript with elements: these must be well formed, and what stands in their braces valid."""
     if "/>" not in text and "</" not in text:

@@ -18,7 +18,9 @@ dotted_as: dotted ['as' NAME]
 name_as: NAME ['as' NAME]
 expr_stmt: yieldable [':' test ['=' yieldable] | AUG yieldable | ('=' yieldable)+]
 yieldable: 'yield' ['from' test | items] | items
-items: item (',' item)* [',']
+items: plain_item (',' plain_item)* [',']
+plain_item: '*' ortest | test
+subjects: item (',' item)* [',']
 item: '*' ortest | named
 named: test [':=' test]
 test: 'lambda' [lparams] ':' test | ortest ['if' ortest 'else' test]
@@ -50,11 +52,11 @@ compound: 'if' named ':' suite ('elif' named ':' suite)* ['else' ':' suite]
     | 'class' NAME [tparams] ['(' [args] ')'] ':' suite
     | 'async' (def_stmt | for_stmt | with_stmt)
     | ('@' named NEWLINE)+ (def_stmt | 'async' def_stmt | 'class' NAME [tparams] ['(' [args] ')'] ':' suite)
-    | MATCH items ':' NEWLINE INDENT case_block+ DEDENT
+    | MATCH subjects ':' NEWLINE INDENT case_block+ DEDENT
 for_stmt: 'for' target (',' target)* [','] 'in' items ':' suite ['else' ':' suite]
 with_stmt: 'with' with_item (',' with_item)* ':' suite
 with_item: test ['as' target]
-def_stmt: 'def' NAME [tparams] '(' [params] ')' ['->' items] ':' suite
+def_stmt: 'def' NAME [tparams] '(' [params] ')' ['->' test] ':' suite
 case_block: CASE patterns ['if' named] ':' suite
 patterns: pattern (',' pattern)* [',']
 pattern: '*' NAME | closed ('|' closed)* ['as' NAME]
@@ -184,15 +186,18 @@ statement: block | ';' | declaration | 'if' '(' comma ')' statement ['else' stat
     | 'for' ['await'] '(' for_head ')' statement | 'switch' '(' comma ')' '{{' ('case' comma ':' statement* | 'default' ':' statement*)* '}}'
     | 'try' block ('catch' ['(' binding {colon} ')'] block ['finally' block] | 'finally' block) | 'return' [comma] eos | 'throw' comma eos | 'break' [NAME] eos | 'continue' [NAME] eos
     | 'debugger' eos | 'import' import_rest | 'export' export_rest | LABEL ':' statement | comma eos
-declaration: variables eos | function | 'async' function | decorated {ts("| 'type' name [tparams] '=' type eos | 'interface' name [tparams] ['extends' type (',' type)*] '{' [members] '}' | 'enum' name '{' [enum_member (',' enum_member)* [',']] '}' | ('namespace' | 'module') (STRING | name ('.' name)*) block | 'declare' declared | 'abstract' class | 'global' block")}
+declaration: variables eos | named_function | 'async' named_function | named_class {ts("| 'type' name [tparams] '=' type eos | 'interface' name [tparams] ['extends' type (',' type)*] '{' [members] '}' | 'enum' name '{' [enum_member (',' enum_member)* [',']] '}' | ('namespace' | 'module') (STRING | name ('.' name)*) block | 'declare' declared | 'abstract' class | 'global' block")}
 variables: ('let' | 'var') variable (',' variable)* | 'const' (variable (',' variable)* {ts("| 'enum' name '{' [enum_member (',' enum_member)* [',']] '}'")})
 variable: binding {ts("['!']")} {colon} ['=' expr]
 for_head: ';' [comma] ';' [comma] | ('const' | 'let' | 'var') binding {colon} (('of' | 'in') comma | ['=' expr] (',' variable)* ';' [comma] ';' [comma]) | forcomma ('of' comma | ';' [comma] ';' [comma])
 forcomma: comma
+named_function: 'function' ['*'] name signature {ts("(block | eos)") or 'block'}
 function: 'function' ['*'] [name] signature {ts("(block | eos)") or 'block'}
 signature: {generics} ('(' | 'A(') [params] ')' {ts("[':' returned]")}
 decorated: ('@' unary)* class
-class: 'class' [name] {generics} ['extends' unary {ts("")}] {ts("['implements' type (',' type)*]")} '{{' class_member* '}}'
+named_class: ('@' unary)* 'class' name class_rest
+class: 'class' [name] class_rest
+class_rest: {generics} ['extends' unary {ts("")}] {ts("['implements' type (',' type)*]")} '{{' class_member* '}}'
 class_member: ';' | ('@' unary)* 'static' block | ('@' unary)* (MODIFIER | 'readonly' | 'static' | 'async' | 'get' | 'set' | '*' {ts("| 'abstract' | 'declare'")})* (property {ts("['?' | '!']")} (signature {ts("(block | eos)") or 'block'} | {colon} ['=' expr] eos) )
 property: name | STRING | NUMBER | PRIVATE | '[' expr {colon} ']' | {words}
 params: param (',' param)* [',']

@@ -554,6 +554,9 @@ def script_tokens(text: str, types: bool) -> tuple[list[str], frozenset[int], li
     pair = matches(out)
     for i in range(n):
         c = out[i]
+        if c in ("++", "--") and i in lines and i and out[i - 1] in _OPERAND_ENDS | {"LITERAL"}:
+            out[i] = "-"  # behind a line end it belongs to the operand that follows
+            continue
         if c == "." or c == "?.":
             t = tokens[i + 1] if i + 1 < n else ""
             if t and (t[0].isalpha() or t[0] in "_$"):
