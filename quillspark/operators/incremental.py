@@ -9,9 +9,9 @@ KEY = ["repo_id", "path"]
 
 
 def latest(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """The latest row of each key (greatest ``at``, nulls first, then the greatest row)."""
+    """The latest row of each key (greatest ``at``, nulls first, ties by a hash of the row)."""
     rest = [c for c in rows.columns if c not in keys]
-    picked = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(at, *[F.col(c).cast("string") for c in rest if c != at])).alias("r"))
+    picked = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(at, F.xxhash64(*rest))).alias("r"))
     return picked.select(*keys, "r.*")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import paths as P
@@ -12,9 +12,10 @@ from quillspark.operators import chunking, incremental, state
 from quillspark.session import table
 
 
-def _chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    """The chunks, each id once in its latest delivery."""
-    return incremental.latest(table(spark, d, "code_chunks").select("id", "indexed_at", *[c for c in columns if c not in ("id", "indexed_at")]), ["id"], "indexed_at")
+def _chunks(spark: SparkSession, d: str, *columns: str, **worked_out: Column) -> DataFrame:
+    """The chunks, each id once in its latest delivery. What is worked out of a row is worked out before rows of one id meet, so that texts aren't shuffled."""
+    rows = table(spark, d, "code_chunks").filter("id is not null")
+    return incremental.latest(rows.select("id", "indexed_at", *[c for c in columns if c not in ("id", "indexed_at")], *[e.alias(name) for name, e in worked_out.items()]), ["id"], "indexed_at")
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -28,7 +29,7 @@ def path_typing(spark: SparkSession, d: str) -> DataFrame:
 
 def typing_counts(spark: SparkSession, d: str) -> DataFrame:
     """Chunks by the category stored and the category that the path tells, with subtotals."""
-    c = _chunks(spark, d, "path", "category").select("category", P.category(F.col("path")).alias("told"))
+    c = _chunks(spark, d, "category", told=P.category(F.col("path")))
     return c.rollup("category", "told").agg(F.count("*").alias("n_chunks"), F.grouping_id().cast("int").alias("level"))
 
 
@@ -46,13 +47,12 @@ def chunk_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def identifier_split(spark: SparkSession, d: str) -> DataFrame:
-    return _chunks(spark, d, "content").select("id", F.array_join(T.subwords(F.coalesce("content", F.lit(""))), " ").alias("subwords"))
+    return _chunks(spark, d, subwords=F.array_join(T.subwords(F.coalesce("content", F.lit(""))), " ")).select("id", "subwords")
 
 
 def indexed_text(spark: SparkSession, d: str) -> DataFrame:
-    c = _chunks(spark, d, "path", "kind", "symbol", "parent_symbol", "context", "symbols", "content")
     built = T.indexed_text(*[F.col(x) for x in ("path", "kind", "symbol", "parent_symbol", "context", "symbols", "content")])
-    return c.select("id", F.sha2(built, 256).alias("sha"), F.octet_length(built).cast("bigint").alias("n_bytes"))
+    return _chunks(spark, d, sha=F.sha2(built, 256), n_bytes=F.octet_length(built).cast("bigint")).select("id", "sha", "n_bytes")
 
 
 def slugs(spark: SparkSession, d: str) -> DataFrame:
@@ -65,28 +65,35 @@ def path_slugs(spark: SparkSession, d: str) -> DataFrame:
 
 def byte_clips(spark: SparkSession, d: str) -> DataFrame:
     """Contents cut to 500 bytes: bytes left, which differ where a character would have been cut."""
-    return _chunks(spark, d, "content").filter("content is not null").select("id", F.octet_length(T.clip_bytes(F.col("content"), 500)).cast("bigint").alias("n_bytes"))
+    return _chunks(spark, d, n_bytes=F.octet_length(T.clip_bytes(F.col("content"), 500)).cast("bigint")).filter("n_bytes is not null").select("id", "n_bytes")
 
 
 def line_slices(spark: SparkSession, d: str) -> DataFrame:
-    return _chunks(spark, d, "content").filter("content is not null").select("id", T.line_slice(F.col("content"), 2, 3).alias("lines"))
+    return _chunks(spark, d, lines=T.line_slice(F.col("content"), 2, 3)).filter("lines is not null").select("id", "lines")
 
 
-def redact_counts(spark: SparkSession, d: str) -> DataFrame:
-    c = _chunks(spark, d, "repo_id", "content").filter("content is not null")
-    addresses, reserved = R.email_counts(F.col("content"))
-    return c.groupBy("repo_id").agg(F.sum(R.key_counts(F.col("content"))).cast("bigint").alias("n_keys"), F.sum(addresses).cast("bigint").alias("n_addresses"), F.sum(reserved).cast("bigint").alias("n_reserved"))
+def _redacted(rows: DataFrame, *by: str) -> DataFrame:
+    """``id``, ``by``, whether the text changed, the hash of what is left, and the redactions by label."""
+    r = R.redacted(rows.filter("text is not null").withColumn("before", F.md5("text")), "text")
+    n = [F.coalesce(F.element_at("redactions", label), F.lit(0)).cast("bigint").alias("n_" + label.strip("[]").lower()) for label in R.LABELS]
+    return r.select("id", *by, (F.md5("text") != F.col("before")).alias("changed"), F.sha2("text", 256).alias("sha"), *n)
 
 
 def redact_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Documents after redaction: whether they changed, and the hash of what is left."""
-    r = R.redacted(F.col("text"))
-    return _docs(spark, d).filter("text is not null").select("id", (r != F.col("text")).alias("changed"), F.sha2(r, 256).alias("sha"))
+    """Documents after redaction: whether they changed, the hash of what is left, and the redactions by label."""
+    return _redacted(_docs(spark, d))
 
 
 def redact_chunks(spark: SparkSession, d: str) -> DataFrame:
-    r = R.redacted(F.col("content"))
-    return _chunks(spark, d, "content").filter("content is not null").select("id", (r != F.col("content")).alias("changed"), F.sha2(r, 256).alias("sha"))
+    rows = _redacted(table(spark, d, "code_chunks").filter("id is not null").select("id", "indexed_at", F.col("content").alias("text")), "indexed_at")
+    return incremental.latest(rows, ["id"], "indexed_at").drop("indexed_at")
+
+
+def redact_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Redactions by repository and label."""
+    rows = _redacted(table(spark, d, "code_chunks").filter("id is not null").select("id", "repo_id", "indexed_at", F.col("content").alias("text")), "repo_id", "indexed_at")
+    once = incremental.latest(rows, ["id"], "indexed_at")
+    return once.groupBy("repo_id").agg(*[F.sum(c).alias(c) for c in once.columns if c.startswith("n_")])
 
 
 def content_hash_duplicates(spark: SparkSession, d: str) -> DataFrame:
@@ -176,14 +183,6 @@ QUERIES = [
 ]
 
 
-def _list(values: list[str]) -> str:
-    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
-
-
-def _quoted(pattern: str) -> str:
-    return "'" + pattern.replace("'", "''") + "'"
-
-
 def _latest(rows: str, keys: str, at: str, rest: list[str]) -> str:
     """The latest row of each key, ties by the other columns as text, like the operator."""
     tie = ", ".join(f"{c}::VARCHAR DESC NULLS LAST" for c in rest)
@@ -193,13 +192,30 @@ def _latest(rows: str, keys: str, at: str, rest: list[str]) -> str:
 _CHUNKS = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC) AS r_ FROM code_chunks) WHERE r_ = 1)"
 _NAME = "regexp_extract(path, '([^/]*)$', 1)"
 _SUFFIX = f"CASE WHEN ends_with({_NAME}, '.env.example') THEN '.env.example' ELSE lower(regexp_extract({_NAME}, '^.+(\\.[^.]+)$', 1)) END"
-_LANGUAGE = "CASE " + " ".join(f"WHEN {_NAME} = '{n}' THEN '{v}'" for n, v in P.LANGUAGE_OF_NAME.items()) + " " + " ".join(f"WHEN ({_SUFFIX}) = '{s}' THEN '{v}'" for s, v in P.LANGUAGE_OF.items()) + " END"
-_CATEGORY = f"CASE WHEN ({_SUFFIX}) IN ({_list(P.DOCUMENTS)}) THEN 'doc' WHEN ({_SUFFIX}) IN ({_list(P.CODE_WITHOUT_GRAMMAR)}) OR ({_LANGUAGE}) IS NOT NULL THEN 'code' ELSE 'other' END"
-_IGNORED = f"(list_has_any(string_split(path, '/')[:-2], [{_list(P.IGNORED_DIRS)}]) OR {_NAME} IN ({_list(P.IGNORED_NAMES)}) OR {' OR '.join(f'ends_with(lower({_NAME}), {chr(39)}{s}{chr(39)})' for s in P.IGNORED_SUFFIXES)})"
-_INDEXABLE = (
-    f"(NOT {_IGNORED} AND ({_NAME} IN ({_list(P.KNOWN_NAMES)}) OR (({_SUFFIX}) <> '' AND ({_SUFFIX}) NOT IN ({_list(P.NEVER)})"
-    f" AND (({_SUFFIX}) IN ({_list(P.DOCUMENTS + P.OTHERS + P.CODE_WITHOUT_GRAMMAR)}) OR ({_LANGUAGE}) IS NOT NULL))))"
-)
+# Written out here a second time, so that a wrong list in the operator shows.
+_FLAT = """('.md', '.mdx', '.markdown', '.rst', '.txt', '.adoc', '.json', '.json5', '.jsonc', '.yml', '.yaml', '.toml', '.ini', '.cfg', '.conf', '.properties', '.env.example', '.xml', '.csproj', '.vbproj', '.fsproj', '.sqlproj',
+  '.props', '.targets', '.sln', '.nuspec', '.config', '.xaml', '.plist', '.html', '.htm', '.css', '.scss', '.sass', '.less', '.hbs', '.handlebars', '.mustache', '.pug', '.haml', '.slim', '.jsp', '.aspx', '.ascx', '.master',
+  '.sql', '.cob', '.cbl')"""
+_NEVER = "('.csv', '.tsv', '.diff', '.patch', '.po', '.pot', '.log', '.ipynb', '.svg', '.pem', '.crt', '.key', '.pfx', '.p12')"
+_LANGUAGE = f"""CASE {_NAME} WHEN 'Dockerfile' THEN 'dockerfile' WHEN 'Makefile' THEN 'make' WHEN 'Jenkinsfile' THEN 'groovy' WHEN 'go.mod' THEN 'gomod' WHEN 'BUILD' THEN 'starlark' WHEN 'WORKSPACE' THEN 'starlark' ELSE
+  CASE WHEN ({_SUFFIX}) IN {_FLAT} OR ({_SUFFIX}) IN {_NEVER} THEN NULL
+  WHEN ({_SUFFIX}) IN ('.ts', '.mts', '.cts') THEN 'typescript' WHEN ({_SUFFIX}) IN ('.js', '.jsx', '.mjs', '.cjs') THEN 'javascript' WHEN ({_SUFFIX}) IN ('.py', '.pyi') THEN 'python'
+  WHEN ({_SUFFIX}) IN ('.rb', '.rake') THEN 'ruby' WHEN ({_SUFFIX}) IN ('.kt', '.kts') THEN 'kotlin' WHEN ({_SUFFIX}) IN ('.cc', '.cxx', '.hpp', '.hh', '.hxx') THEN 'cpp' WHEN ({_SUFFIX}) IN ('.m', '.mm') THEN 'objc'
+  WHEN ({_SUFFIX}) IN ('.sh', '.bash', '.zsh') THEN 'bash' WHEN ({_SUFFIX}) IN ('.ps1', '.psm1', '.psd1') THEN 'powershell' WHEN ({_SUFFIX}) IN ('.fs', '.fsx', '.fsi') THEN 'fsharp' WHEN ({_SUFFIX}) IN ('.ex', '.exs') THEN 'elixir'
+  WHEN ({_SUFFIX}) IN ('.erl', '.hrl') THEN 'erlang' WHEN ({_SUFFIX}) IN ('.ml', '.mli') THEN 'ocaml' WHEN ({_SUFFIX}) IN ('.pl', '.pm') THEN 'perl' WHEN ({_SUFFIX}) IN ('.clj', '.cljs', '.cljc') THEN 'clojure'
+  WHEN ({_SUFFIX}) IN ('.groovy', '.gvy', '.gradle') THEN 'groovy' WHEN ({_SUFFIX}) IN ('.tf', '.tfvars') THEN 'terraform' WHEN ({_SUFFIX}) IN ('.bzl', '.bazel') THEN 'starlark' WHEN ({_SUFFIX}) IN ('.cu', '.cuh') THEN 'cuda'
+  WHEN ({_SUFFIX}) IN ('.vert', '.frag') THEN 'glsl' WHEN ({_SUFFIX}) IN ('.sv', '.svh') THEN 'systemverilog' WHEN ({_SUFFIX}) IN ('.f90', '.f95', '.f03') THEN 'fortran' WHEN ({_SUFFIX}) IN ('.adb', '.ads') THEN 'ada'
+  WHEN ({_SUFFIX}) IN ('.cls', '.trigger') THEN 'apex' WHEN ({_SUFFIX}) IN ('.j2', '.jinja', '.jinja2') THEN 'jinja2' WHEN ({_SUFFIX}) IN ('.erb', '.ejs') THEN 'embeddedtemplate'
+  ELSE CASE {_SUFFIX} WHEN '.rs' THEN 'rust' WHEN '.cs' THEN 'csharp' WHEN '.cshtml' THEN 'razor' WHEN '.h' THEN 'c' WHEN '.hs' THEN 'haskell' WHEN '.jl' THEN 'julia' WHEN '.gql' THEN 'graphql' WHEN '.sol' THEN 'solidity'
+  WHEN '.mk' THEN 'make' WHEN '.pas' THEN 'pascal' ELSE CASE WHEN ({_SUFFIX}) IN ('.tsx', '.c', '.cpp', '.go', '.java', '.php', '.swift', '.scala', '.dart', '.lua', '.vb', '.vue', '.svelte', '.astro', '.razor', '.twig', '.liquid',
+  '.blade', '.graphql', '.proto', '.prisma', '.hcl', '.nix', '.zig', '.nim', '.elm', '.r', '.cmake') THEN substring({_SUFFIX}, 2) END END END END"""
+_CATEGORY = f"CASE WHEN ({_SUFFIX}) IN ('.md', '.mdx', '.markdown', '.rst', '.txt', '.adoc') THEN 'doc' WHEN ({_SUFFIX}) IN ('.sql', '.cob', '.cbl') OR ({_LANGUAGE}) IS NOT NULL THEN 'code' ELSE 'other' END"
+_IGNORED = f"""(list_has_any(string_split(path, '/')[:-2], ['.git', '.hg', '.svn', 'node_modules', 'bower_components', 'vendor', 'dist', 'build', 'out', 'target', 'bin', 'obj', 'coverage', '.next', '.nuxt', '.turbo', '.venv', 'venv',
+  '__pycache__', '.pytest_cache', '.mypy_cache', '.ruff_cache', '.idea', '.vscode', '.gradle', '.dart_tool', 'Pods', 'DerivedData', 'packages', '__snapshots__', 'Connected Services', 'Service References'])
+  OR {_NAME} IN ('package-lock.json', 'pnpm-lock.yaml', 'yarn.lock', 'bun.lockb', 'bun.lock', 'uv.lock', 'poetry.lock', 'Cargo.lock', 'composer.lock', 'Gemfile.lock', 'go.sum', 'packages.lock.json')
+  OR regexp_matches(lower({_NAME}), '(\\.min\\.js|\\.min\\.css|\\.bundle\\.js|\\.chunk\\.js|\\.map|\\.d\\.ts|\\.lock|-lock\\.json|-lock\\.yaml|\\.snap|\\.pb\\.go|\\.generated\\.cs|\\.g\\.cs|\\.g\\.i\\.cs|\\.designer\\.cs|\\.g\\.dart|\\.freezed\\.dart)$'))"""
+_INDEXABLE = f"""(NOT {_IGNORED} AND ({_NAME} IN ('Dockerfile', 'Makefile', 'Jenkinsfile', 'Procfile', '.env.example', 'CODEOWNERS', 'BUILD', 'WORKSPACE')
+  OR (({_SUFFIX}) <> '' AND ({_SUFFIX}) NOT IN {_NEVER} AND (({_SUFFIX}) IN {_FLAT} OR ({_LANGUAGE}) IS NOT NULL))))"""
 _SUBWORDS = (
     "array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(regexp_replace(regexp_replace(coalesce(content, ''), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'),"
     " '[A-Za-z][A-Za-z0-9]*'), lambda x: lower(x)), lambda x: length(x) > 1))), ' ')"
@@ -217,6 +233,34 @@ _MANIFEST = _latest("files", "repo_id, path", "indexed_at", ["sha", "chunk_count
 _DIFF = f"""(SELECT coalesce(f.repo_id, m.repo_id) AS repo_id, coalesce(f.path, m.path) AS path,
   CASE WHEN m.path IS NULL THEN 'added' WHEN f.path IS NULL THEN 'deleted' WHEN f.sha = m.sha THEN 'unchanged' ELSE 'modified' END AS state
   FROM {_HELD} f FULL OUTER JOIN {_MANIFEST} m ON f.repo_id = m.repo_id AND f.path = m.path)"""
+# The rules of redaction written out once more: gaps and matches of a pattern are put together again.
+_MAIL = r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"
+_KEPT = r"(?i)@(?:example\.(?:com|net|org)|localhost|[\w.\-]+\.(?:test|invalid|example|local))$"
+_SET = (
+    r"\b(?:[A-Z][A-Z0-9]*_[A-Z0-9_]*(?:PASSWORD|SECRET|TOKEN|APIKEY|API_KEY|PRIVATE_KEY|PAT)[A-Z0-9_]*|(?:PASSWORD|SECRET|TOKEN|APIKEY|API_KEY|PRIVATE_KEY)[A-Z0-9_]*)\s*[:=]\s*"
+    r"(?:\"[^\"\n]*\"|''[^''\n]*''|[^\s\"''#,;]+)"
+)
+_PART = r"regexp_replace(trim(regexp_replace(m, '^[A-Z0-9_]+\s*[:=]\s*', '')), '^[\"'']+|[\"'']+$', '', 'g')"
+_IS_SECRET = rf"""(length({_PART}) >= 12 AND NOT regexp_matches({_PART}, '\s') AND regexp_matches({_PART}, '[0-9]') AND regexp_matches({_PART}, '[A-Za-z]')
+  AND NOT regexp_matches({_PART}, '(?i)\b(?:process\.env|import\.meta\.env|os\.environ|env|Environment)\b') AND NOT regexp_matches({_PART}, '^\$\{{?') AND NOT regexp_matches({_PART}, '[.(]\s*$')
+  AND NOT regexp_matches({_PART}, '^(?:string|number|boolean|text|varchar|uuid|jsonb?|any|unknown)\b') AND NOT regexp_matches({_PART}, '^[A-Za-z_][\w.]*\(') AND NOT regexp_matches({_PART}, '^(?:this|self)\.')
+  AND NOT regexp_matches({_PART}, '^(?:https?|wss?|postgres(?:ql)?|redis|mongodb)://') AND NOT regexp_matches({_PART}, '(?i)(?:^<|your[-_]|change[-_]?me|placeholder|example|xxx+|\.\.\.)'))"""
+_SHAPES = [
+    r"\b(?:sk|pk|rk)-[A-Za-z0-9_\-]{16,}\b", r"\bgh[pousr]_[A-Za-z0-9]{20,}\b", r"\bxox[baprs]-[A-Za-z0-9\-]{10,}\b", r"\bAKIA[0-9A-Z]{16}\b", r"\b[a-z0-9]{52}\b",
+]
+_STEPS = ", ".join(f"k{i + 1} AS (SELECT id, orig, regexp_replace(t, '{p}', '[API_KEY]', 'g') AS t, n + len(regexp_extract_all(t, '{p}')) AS n FROM k{i})" for i, p in enumerate(_SHAPES))
+_REDACTED = rf"""k0 AS (SELECT id, text AS orig, text AS t, 0 AS n FROM src), {_STEPS},
+  j AS (SELECT id, orig, n, regexp_replace(t, '\beyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\b', '[JWT]', 'g') AS t, len(regexp_extract_all(t, '\beyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\b')) AS nj FROM k5),
+  e0 AS (SELECT *, string_split_regex(t, '{_MAIL}') AS g, regexp_extract_all(t, '{_MAIL}') AS ms FROM j),
+  e AS (SELECT id, orig, n, nj, len(list_filter(ms, lambda m: NOT regexp_matches(m, '{_KEPT}'))) AS ne,
+    CASE WHEN len(ms) = 0 THEN t ELSE array_to_string(list_transform(range(1, len(ms) + 1), lambda i: g[i] || CASE WHEN regexp_matches(ms[i], '{_KEPT}') THEN ms[i] ELSE '[EMAIL]' END), '') || g[len(ms) + 1] END AS t FROM e0),
+  p1 AS (SELECT *, len(regexp_extract_all(t, '\+\d{{1,3}}[\s.\-]?\(?\d{{2,4}}\)?[\s.\-]?\d{{3}}[\s.\-]?\d{{2,4}}\b')) AS n1, regexp_replace(t, '\+\d{{1,3}}[\s.\-]?\(?\d{{2,4}}\)?[\s.\-]?\d{{3}}[\s.\-]?\d{{2,4}}\b', '[PHONE]', 'g') AS t1 FROM e),
+  p2 AS (SELECT id, orig, n, nj, ne, n1 + len(regexp_extract_all(t1, '\b\d{{3}}[.\-]\d{{3}}[.\-]\d{{4}}\b')) AS np, regexp_replace(t1, '\b\d{{3}}[.\-]\d{{3}}[.\-]\d{{4}}\b', '[PHONE]', 'g') AS t FROM p1),
+  s0 AS (SELECT *, string_split_regex(t, '{_SET}') AS g, regexp_extract_all(t, '{_SET}') AS ms FROM p2),
+  s1 AS (SELECT *, list_transform(ms, lambda m: {_IS_SECRET}) AS hit FROM s0),
+  redacted AS (SELECT id, t2 <> orig AS changed, sha256(t2) AS sha, n::BIGINT AS n_api_key, nj::BIGINT AS n_jwt, ne::BIGINT AS n_email, np::BIGINT AS n_phone, len(list_filter(hit, lambda h: h))::BIGINT AS n_secret FROM (
+    SELECT *, CASE WHEN len(ms) = 0 THEN t ELSE array_to_string(list_transform(range(1, len(ms) + 1), lambda i: g[i] || CASE WHEN hit[i] THEN regexp_extract(ms[i], '^([A-Z0-9_]+\s*[:=]\s*)', 1) || '[SECRET]' ELSE ms[i] END), '')
+      || g[len(ms) + 1] END AS t2 FROM s1))"""
 _HEADING = r"^(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*\r?$"
 
 SQL = {
@@ -233,8 +277,10 @@ SQL = {
     "byte_clips": f"""WITH b AS (SELECT id, octet_length(encode(content)) AS n, hex(encode(content)) AS h FROM {_CHUNKS} WHERE content IS NOT NULL)
         SELECT id, CASE WHEN n <= 500 THEN n WHEN substring(h, 1001, 2) NOT BETWEEN '80' AND 'BF' THEN 500 WHEN substring(h, 999, 2) NOT BETWEEN '80' AND 'BF' THEN 499
         WHEN substring(h, 997, 2) NOT BETWEEN '80' AND 'BF' THEN 498 ELSE 497 END::BIGINT AS n_bytes FROM b""",
-    "redact_counts": f"""SELECT repo_id, sum({" + ".join(f"len(regexp_extract_all(content, {_quoted(p)}))" for _, p in R.KEYS)})::BIGINT AS n_keys, sum(len(regexp_extract_all(content, {_quoted(R.EMAIL)})))::BIGINT AS n_addresses,
-        sum(len(list_filter(regexp_extract_all(content, {_quoted(R.EMAIL)}), lambda m: regexp_matches(m, {_quoted(R.RESERVED)}))))::BIGINT AS n_reserved FROM {_CHUNKS} WHERE content IS NOT NULL GROUP BY repo_id""",
+    "redact_documents": f"WITH src AS (SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL), {_REDACTED} SELECT id, changed, sha, n_api_key, n_jwt, n_email, n_phone, n_secret FROM redacted",
+    "redact_chunks": f"WITH src AS (SELECT id, content AS text FROM {_CHUNKS} WHERE content IS NOT NULL), {_REDACTED} SELECT id, changed, sha, n_api_key, n_jwt, n_email, n_phone, n_secret FROM redacted",
+    "redact_counts": f"""WITH src AS (SELECT id, content AS text FROM {_CHUNKS} WHERE content IS NOT NULL), {_REDACTED} SELECT repo_id, sum(n_api_key)::BIGINT AS n_api_key, sum(n_jwt)::BIGINT AS n_jwt, sum(n_email)::BIGINT AS n_email,
+        sum(n_phone)::BIGINT AS n_phone, sum(n_secret)::BIGINT AS n_secret FROM redacted JOIN {_CHUNKS} c USING (id) GROUP BY repo_id""",
     "content_hash_duplicates": "SELECT sha256(text) AS sha, count(*) AS n_docs, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
     "char_windows": """SELECT id, start, length(chunk) AS n_chars, md5(chunk) AS hash FROM (SELECT id, start, substring(text, start + 1, 1000) AS chunk FROM (
         SELECT doc_id AS id, text, unnest(range(0, length(text), 800)) AS start FROM documents WHERE text <> ''))""",

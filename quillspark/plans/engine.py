@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import citation, search_mode
-from quillspark.operators import dense, evaluation, events, fusion, incremental, lexical, state
+from quillspark.operators import answers, dense, evaluation, events, fusion, incremental, lexical, state
 from quillspark.sources.corpus import guarded_slice
 
 
@@ -30,16 +30,25 @@ class Settings:
 
 
 class Engine:
-    """``chunks`` has ``id, repo_id, path, symbol, lang, category, content, indexed_text, dense``; ids are numbered once for the searches.
+    """``chunks`` is the table of chunk rows (deliveries of one id are told apart by ``indexed_at``).
 
-    Requests are frames of ``query_id, query, vector`` and optionally ``mode``: one request is a frame of one row. The
-    vector comes from whatever model the caller runs; without one only lexical search can be asked for.
+    ``write_chunks`` of the table's last deliveries, bucketed by id, saves the searches that work. Requests are frames of
+    ``query_id, query, vector`` and optionally ``mode``: one request is a frame of one row. The vector comes from whatever
+    model the caller runs; without one only lexical search can be asked for.
     """
 
+    COLUMNS = ["id", "indexed_at", "repo_id", "path", "ordinal", "symbol", "parent_symbol", "kind", "lang", "category", "start_line", "end_line", "content", "context", "indexed_text", "file_sha", "dense"]
+
     def __init__(self, spark: SparkSession, chunks: DataFrame, manifest: DataFrame | None = None, repos: DataFrame | None = None, settings: Settings = Settings()) -> None:
         self.spark, self.manifest, self.repos, self.settings = spark, manifest, repos, settings
-        latest = incremental.latest(chunks.select("id", "indexed_at", "repo_id", "path", "ordinal", "symbol", "lang", "category", "content", "indexed_text", "dense"), ["id"], "indexed_at")
-        self.chunks = latest.withColumn("number", F.xxhash64("id"))
+        self.chunks = incremental.latest(chunks.filter("id is not null").select(*self.COLUMNS), ["id"], "indexed_at")
+
+    def written(self, name: str, buckets: int | None = None) -> "Engine":
+        """An engine on the deduplicated chunks, written once as the table ``name``, bucketed by id so that joins on it need no shuffle."""
+        self.chunks.write.mode("overwrite").bucketBy(buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions")), "id").sortBy("id").saveAsTable(name)
+        other = Engine.__new__(Engine)
+        other.spark, other.manifest, other.repos, other.settings, other.chunks = self.spark, self.manifest, self.repos, self.settings, self.spark.table(name)
+        return other
 
     def filtered(self, repo_ids: list[str] | None = None, path_prefix: str = "", lang: str = "", category: str = "") -> DataFrame:
         """Chunks that pass the scalar filters; an empty one passes all."""
@@ -55,7 +64,7 @@ class Engine:
         return self.chunks.filter(keep)
 
     def search(self, queries: DataFrame, rerank: Callable[[pd.Series, pd.Series], pd.Series] | None = None, **filters) -> DataFrame:
-        """``query_id, rank, id, ref, rrf, dense, bm25, weak`` of the hits of each query, by the mode it asks for or is routed to.
+        """The hits of each query, by the mode it asks for or is routed to, with their chunks' columns, ``ref``, scores and ``weak``.
 
         The batch is split by mode before the channels run, so that no query pays for a channel it doesn't use. Hits
         below the floor are dropped after the cut, without a refill; lexical results have no floor.
@@ -65,25 +74,23 @@ class Engine:
         depth = max(s.candidates, s.top_k) if rerank else s.top_k
         asked = F.col("mode") if "mode" in queries.columns else F.lit("auto")
         routed = queries.withColumn("mode", search_mode(F.col("query"), asked, s.prose_mode))
-        vectors = pool.filter("dense is not null").select(F.col("number").alias("id"), F.col("dense").alias("vector"))
-        texts = pool.select(F.col("number").alias("id"), F.coalesce("indexed_text", F.lit("")).alias("text"))
+        vectors = pool.filter("exists(dense, x -> x <> 0)").select("id", F.col("dense").alias("vector"))
         by_vector = dense.dense_topk(routed.filter("mode in ('dense', 'hybrid')").select("query_id", "vector"), vectors, depth)
-        by_term = lexical.bm25_topk(routed.filter("mode in ('bm25', 'hybrid')").select("query_id", F.col("query").alias("text")), texts, depth)
+        by_term = lexical.bm25_topk(routed.filter("mode in ('bm25', 'hybrid')").select("query_id", F.col("query").alias("text")), pool.select("id", F.col("indexed_text").alias("text")), depth)
         hits = fusion.fuse(by_vector, by_term, s.rrf_k, depth).join(routed.select("query_id", "mode", "query"), "query_id")
-        named = hits.join(pool.select(F.col("number").alias("id"), F.col("id").alias("chunk"), "repo_id", "path", "symbol", F.coalesce("content", F.lit("")).alias("text")), "id")
+        named = hits.join(pool.drop("dense", "indexed_at", "indexed_text"), "id").withColumn("text", F.coalesce("content", F.lit("")))
         if rerank:
             named = fusion.rerank(named.withColumn("text", F.concat_ws("\n", "path", "text")), rerank, s.top_k)
-        kept = named.filter((F.col("mode") == "bm25") | (F.coalesce("dense", F.lit(1.0)) >= s.min_dense_score))
-        from pyspark.sql import Window
+        found = fusion.with_weak(fusion.floor(named, s.min_dense_score, F.col("mode")), s.weak_dense_score, F.col("mode"))
+        scores = [F.round(c, 6).alias(c) for c in ("rrf", "dense", "bm25")]
+        return found.select("query_id", "rank", "id", "repo_id", citation(F.col("path"), F.col("symbol")).alias("ref"), *scores, "weak", "text", *[c for c in self.COLUMNS if c in found.columns and c not in ("id", "repo_id", "dense")])
 
-        q = Window.partitionBy("query_id")
-        weak = (F.col("mode") != "bm25") & (F.max(F.coalesce("dense", F.lit(0.0))).over(q) < s.weak_dense_score)
-        return kept.withColumn("weak", weak).withColumn("rank", F.row_number().over(q.orderBy("rank"))).select(
-            "query_id", "rank", F.col("chunk").alias("id"), "repo_id", citation(F.col("path"), F.col("symbol")).alias("ref"), F.round("rrf", 6).alias("rrf"), F.round("dense", 6).alias("dense"), F.round("bm25", 6).alias("bm25"), "weak", "text"
-        )
+    def prompts(self, queries: DataFrame, hits: DataFrame) -> DataFrame:
+        return answers.prompts(queries, hits)
 
-    def prompts(self, hits: DataFrame) -> DataFrame:
-        return fusion.prompts(hits)
+    def ask(self, queries: DataFrame, model: Callable[[pd.Series], pd.Series], **filters) -> DataFrame:
+        """Search, prompt and the answer of the model, a function on batches of prompts."""
+        return answers.asked(queries, self.search(queries, **filters), model)
 
     def chunks_of(self, repo_id: str, path: str) -> DataFrame:
         return self.chunks.filter((F.col("repo_id") == repo_id) & (F.col("path") == path)).orderBy("ordinal")
@@ -96,7 +103,7 @@ class Engine:
         """The chunk table after a run over ``files`` (with ``sha``), and its counters; ``fresh`` are the chunks of all files."""
         diff = incremental.manifest_diff(files, incremental.latest(self.manifest, ["repo_id", "path"], "indexed_at"))
         changed = diff.filter("state in ('added', 'modified')").select("repo_id", "path")
-        return incremental.rewritten(self.chunks.drop("number"), diff, fresh.join(changed, ["repo_id", "path"], "left_semi")), incremental.counters(diff)
+        return incremental.rewritten(self.chunks, diff, fresh.join(changed, ["repo_id", "path"], "left_semi")), incremental.counters(diff)
 
     def totals(self) -> DataFrame:
         return state.repo_totals(self.manifest)

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.operators import answers
 from quillspark.plans.engine import Engine, Settings
 
 
@@ -19,7 +20,7 @@ def test_modes_and_filters(spark, engine):
     assert second and second[0]["dense"] == pytest.approx(1, abs=1e-4) and all(r["bm25"] is None for r in second)
     assert any(r["bm25"] is not None for r in rows if r["query_id"] == 3)
     assert {r["rank"] for r in second} == set(range(1, len(second) + 1))
-    only = engine.search(queries, lang="go").join(engine.chunks.select("id", "lang"), "id").select("lang").distinct().collect()
+    only = engine.search(queries, lang="go").select("lang").distinct().collect()
     assert [r[0] for r in only] in ([], ["go"])
 
 
@@ -28,7 +29,14 @@ def test_rerank_and_prompts(spark, engine):
     hits = engine.search(queries, rerank=_by_length)
     lengths = [len(r["text"]) for r in hits.orderBy("rank").collect()]
     assert lengths == sorted(lengths, reverse=True) and len(lengths) == 8
-    assert engine.prompts(hits).first()["prompt"].startswith("[1] ")
+    prompt = engine.prompts(queries, hits).first()["prompt"]
+    assert prompt.startswith("CODE CHUNKS (most relevant first):\n\n[1] ") and prompt.endswith("\n\nQuestion: late commit ignored")
+    said = engine.ask(queries, _echo).first()
+    assert said["answer"].startswith("CODE") and said["prompt_chars"] == len(said["answer"]) and [x["n"] for x in said["sources"]] == list(range(1, len(said["sources"]) + 1))
+
+
+def _echo(prompts):
+    return prompts
 
 
 def _by_length(query, text):
@@ -38,7 +46,7 @@ def _by_length(query, text):
 def test_sync_and_slices(spark, engine):
     known = engine.totals().agg(F.sum("file_count")).first()[0]
     files = engine.manifest.groupBy("repo_id", "path").agg(F.max("sha").alias("sha")).withColumn("sha", F.lit("changed"))
-    after, counters = engine.sync(files, engine.chunks.drop("number"))
+    after, counters = engine.sync(files, engine.chunks)
     assert counters.agg(F.sum("modified")).first()[0] == known
     assert after.count() == engine.chunks.count()
 
@@ -48,6 +56,19 @@ def test_settings_are_checked():
         Settings(min_dense_score=0.9)
 
 
-def test_prompts_hold_whole_texts(spark, engine):
-    hits = spark.createDataFrame([(1, 1, "a.py", "x" * 5000), (1, 2, "b.py", "y" * 3000)], "query_id int, rank int, ref string, text string")
-    assert engine.prompts(hits).first()["prompt"] == "[1] a.py\n" + "x" * 5000 + "\n\n[2] b.py\n" + "y" * 3000
+def test_prompts_hold_whole_texts(spark):
+    row = lambda q, rank, path, text, kind, weak: (q, rank, "r", path, "f", "function", "py", kind, 1, 2, text, "", weak)
+    hits = spark.createDataFrame([row(1, 1, "a.py", "x" * 5000, "code", False), row(1, 2, "b.md", "y" * 3000, "doc", False), row(2, 1, "c.py", "z", "code", True)], "query_id int, rank int, repo_id string, path string, symbol string, kind string, lang string, category string, start_line int, end_line int, content string, context string, weak boolean")
+    queries = spark.createDataFrame([(1, "how"), (2, "why"), (3, "what")], "query_id int, query string")
+    got = {r["query_id"]: r["prompt"] for r in answers.prompts(queries, hits).collect()}
+    assert got[1] == "CODE CHUNKS (most relevant first):\n\n[1] a.py:1-2 — function f (repo: r)\n```py\n" + "x" * 5000 + "\n```\n\n[2] b.md:1-2 — DOCUMENT — function f (repo: r)\n```py\n" + "y" * 3000 + "\n```\n\nQuestion: how"
+    assert answers.WEAK_NOTE in got[2] and got[3] == "(no code chunks were found)\n\nQuestion: what"
+    assert all(len(r["text"]) < 5400 + len(answers.WEAK_NOTE) for r in answers.rendered(hits).collect())
+
+
+def test_written_once(spark, engine):
+    again = engine.written("chunks_by_id", 4)
+    assert again.chunks.count() == engine.chunks.count()
+    plan = again.chunks.select("id", "path").join(again.chunks.select("id", "symbol").hint("merge"), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    spark.sql("drop table chunks_by_id")

@@ -38,9 +38,21 @@ def test_vectors(spark):
 
 
 def test_paths(spark):
-    rows = {"src/a.py": True, "node_modules/x/a.js": False, "a/vendor": False, "src/app.min.js": False, "README.md": True, "yarn.lock": False, "Dockerfile": True, ".env.example": True, "x.csv": False, "a/b.tsx": True, "bin/run.sh": False, "noext": False}
+    rows = {
+        "src/a.py": True, "node_modules/x/a.js": False, "a/vendor": False, "src/app.min.js": False, "README.md": True, "yarn.lock": False, "Dockerfile": True, ".env.example": True, "x.csv": False, "a/b.tsx": True, "bin/run.sh": False, "noext": False,
+        "src/a.ts": True, "docs/README.md": True, "dist/app.min.js": False, "src/types.d.ts": False, "package-lock.json": False, "image.png": False, "Foo.Designer.cs": False, "Connected Services/Svc/Reference.cs": False, "Scripts/bootstrap.bundle.js": False,
+        "data/export.csv": False, "schema.proto": True, "Pages/Index.razor": True, "Views/Home/Index.cshtml": True, "db/procs.sql": True, "Content/site.less": True, "x.weird": False, "app.csproj": True, "a.markdown": True, "go.mod": True, "BUILD": True,
+    }
     assert column(spark, list(rows), paths.indexable(F.col("t"))) == list(rows.values())
-    assert column(spark, ["a.SQL", "b.md", "c.py", "d.json"], paths.category(F.col("t"))) == ["code", "doc", "code", "other"]
+    assert column(spark, ["x.weird"], paths.indexable(F.col("t"), paths.extra_suffixes("weird, .Odd"))) == [True] and paths.extra_suffixes(" weird, .Odd,") == [".odd", ".weird"]
+    told = {
+        "a/b.tsx": "tsx", "Program.cs": "csharp", "x.unknown": None, "m.sql": None, "PAY.cbl": None, "x.lua": "lua", "x.zig": "zig", "Cart.vue": "vue", "App.svelte": "svelte", "Index.razor": "razor", "Index.cshtml": "razor", "main.tf": "terraform", "X.KT": "kotlin",
+        "Dockerfile": "dockerfile", "go.mod": "gomod", "a.json": None, "a.html": None, "a.css": None, "a.csv": None, "Jenkinsfile": "groovy", "a.pyi": "python",
+    }
+    assert column(spark, list(told), paths.language(F.col("t"))) == list(told.values())
+    kinds = {"a.SQL": "code", "b.md": "doc", "c.py": "code", "d.json": "other", "README.mdx": "doc", "main.go": "code", "config.yaml": "other", "PAY.cbl": "code", "Cart.vue": "code", "a.less": "other"}
+    assert column(spark, list(kinds), paths.category(F.col("t"))) == list(kinds.values())
+    assert column(spark, ["m.sql", "a.py", "x.unknown"], paths.label(F.col("t"))) == ["sql", "python", ""]
 
 
 def reference_redaction(value):
@@ -66,4 +78,13 @@ def test_redaction_agrees_with_the_rules(spark, sf):
     ]
     rows += [r[0] for r in spark.read.parquet(f"{sf}/code_chunks.parquet").select("content").filter("content is not null").limit(300).collect()]
     ascii_rows = [r for r in rows if r.isascii()]
-    assert column(spark, ascii_rows, redaction.redacted(F.col("t"))) == [reference_redaction(r) for r in ascii_rows]
+    df = spark.createDataFrame(list(enumerate(ascii_rows)), "i int, t string")
+    assert [r["t"] for r in redaction.redacted(df, "t").orderBy("i").collect()] == [reference_redaction(r) for r in ascii_rows]
+
+
+def test_redactions_by_label(spark):
+    text = "DB_PASSWORD=hunter2hunter2\npassword varchar(255)\nAPI_TOKEN=process.env.API_TOKEN_12\nmail a.b@corp.io and x@example.com\nghp_" + "a1" * 15 + "\x01 end"
+    row = redaction.redacted(spark.createDataFrame([(1, text), (2, None)], "i int, t string"), "t").orderBy("i").collect()
+    assert row[0]["redactions"] == {"[SECRET]": 1, "[EMAIL]": 1, "[API_KEY]": 1}
+    assert row[0]["t"] == "DB_PASSWORD=[SECRET]\npassword varchar(255)\nAPI_TOKEN=process.env.API_TOKEN_12\nmail [EMAIL] and x@example.com\n[API_KEY]\x01 end"
+    assert row[1]["t"] is None

@@ -116,15 +116,36 @@ def test_partitions_are_replaced_and_dropped(spark, tmp_path):
 
 
 def test_evaluation(spark):
-    cases = spark.createDataFrame([(1, "p"), (2, "p"), (3, "n")], "query_id bigint, kind string")
-    hits = spark.createDataFrame([(1, 5, 1, 0.9), (1, 6, 2, 0.5), (2, 7, 1, 0.4)], "query_id bigint, id bigint, rank int, score double")
-    expected = spark.createDataFrame([(1, 6), (1, 8), (2, 9)], "query_id bigint, id bigint")
-    rows = {r["query_id"]: r for r in evaluation.scored_cases(cases, hits, expected).collect()}
-    assert rows[1]["recall"] == 0.5 and rows[1]["rr"] == 0.5 and rows[2]["recall"] == 0 and rows[3]["recall"] == 1 and rows[3]["negative"]
+    """Worked out by hand: two positives (one found in full), two negatives (one weak, one that looks strong)."""
+    cases = spark.createDataFrame([(1, "p", "all"), (2, "p", "any"), (3, "n", "all"), (4, "n", "all"), (5, "e", "all")], "query_id bigint, kind string, mode string")
+    hit = lambda q, rank, path, symbol, parent, dense, weak: (q, rank, path, symbol, parent, dense, weak)
+    hits = spark.createDataFrame(
+        [hit(1, 1, "a.py", "x", "", 0.66, False), hit(1, 2, "b.py", "m", "pkg.K", 0.6, False), hit(2, 1, "z.py", "", "", 0.5, True), hit(2, 3, "c.py", "f", "", 0.5, True), hit(3, 1, "q.py", "", "", 0.5, True), hit(4, 1, "q.py", "s", "", 0.65, False)],
+        "query_id bigint, rank int, path string, symbol string, parent_symbol string, dense double, weak boolean",
+    )
+    expected = spark.createDataFrame([(1, "b.py::K"), (1, "a.py::y"), (2, "c.py"), (2, "d.py"), (5, "a.py")], "query_id bigint, expect string")
+    scored = evaluation.scored_cases(cases, hits, expected)
+    rows = {r["query_id"]: r for r in scored.collect()}
+    assert (rows[1]["recall"], rows[1]["rr"], rows[1]["abstained"]) == (0.5, 0.5, False) and (rows[2]["recall"], rows[2]["weak"]) == (1.0, True) and rows[2]["rr"] == pytest.approx(1 / 3)
+    assert (rows[3]["recall"], rows[4]["recall"], rows[5]["recall"], rows[5]["abstained"]) == (1.0, 0.0, 0.0, True) and rows[3]["negative"] and not rows[5]["negative"]
+    whole = evaluation.report(scored).first()
+    assert (whole["n"], whole["recall"], whole["abstain_rate"], whole["misses"]) == (5, 0.5, 0.5, 3) and whole["false_weak_rate"] == pytest.approx(1 / 3, abs=1e-6) and whole["mrr"] == pytest.approx((1 / 2 + 1 / 3) / 3, abs=1e-6)
+    kinds = {r["kind"]: tuple(r)[1:] for r in evaluation.by_kind(scored).collect()}
+    assert kinds["n"] == (2, None, None, 0.5) and kinds["p"][:2] == (2, 0.75) and kinds["p"][3] is None
+    assert tuple(evaluation.calibration(scored).first()) == (0.5, 0.5, 0.65, 0.575)
+    assert {r["query_id"]: r["top"] for r in evaluation.misses(scored, hits).collect()} == {1: ["a.py::x", "b.py::m"], 4: ["q.py::s"], 5: []}
     p = evaluation.nearest_percentiles(spark.createDataFrame([("a", float(i)) for i in range(10)], "k string, v double"), "k", "v").first()
     assert (p["p50"], p["p95"]) == (5.0, 9.0)
 
 
+def test_bm25_of_the_last_delivery(spark):
+    docs = spark.createDataFrame([("a", "red fish", "1"), ("a", "blue", "2"), ("b", "red", "1"), ("b", "red", "1"), ("c", "Şişe öğrenci", None)], "id string, text string, at string")
+    queries = spark.createDataFrame([("q", "red blue öğrenci")], "query_id string, text string")
+    once = spark.createDataFrame([("a", "blue"), ("b", "red"), ("c", "Şişe öğrenci")], "id string, text string")
+    rows = lambda df: sorted((r["id"], round(r["score"], 9)) for r in df.collect())
+    assert rows(lexical.bm25_topk(queries, docs, latest="at")) == rows(lexical.bm25_topk(queries, once)) and len(rows(lexical.bm25_topk(queries, once))) == 3
+
+
 def test_push_parsing(spark):
     azure = '{"eventType":"git.push","resource":{"refUpdates":[{"name":"refs/heads/main","oldObjectId":"1","newObjectId":"2"},{"name":"refs/tags/v1","oldObjectId":"1","newObjectId":"2"}],"repository":{"id":"r","name":"n","project":{"name":"p"}}}}'
     github = ['{"ref":"refs/heads/dev","before":"1","after":"2","repository":{"id":7,"name":"n","owner":{"login":"o"}}}', '{"ref":"refs/heads/dev","before":"1","after":"2","deleted":true,"repository":{"id":7}}', '{"ref":"refs/tags/x"}', "not json"]
