@@ -13,18 +13,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder of ``spark.checkpoint.dir``; set one of our own only where it is unset (tests, local runs)."""
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate data: that of the context, else ``spark.checkpoint.dir``; a local run without either gets one of its own, a cluster is refused."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
+    known = context._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "quillspark-checkpoints"))
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = os.path.join(tempfile.gettempdir(), "quillspark-checkpoints")
+    context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the copy, so that a lost executor loses nothing."""
-    ensure_checkpoint_dir(df.sparkSession)
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

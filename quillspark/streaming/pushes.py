@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quillspark.operators.events import first_deliveries, matched
+from quillspark.operators.events import first_deliveries
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, per_trigger: int = 1) -> DataFrame:
@@ -19,37 +19,30 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, per_trigger: int =
     return reader.parquet(path) if os.path.isdir(path) else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def deduplicated(events: DataFrame) -> DataFrame:
-    """Each (repository, commit) once, kept for ever (state grows with the distinct commits)."""
-    return events.filter("external_id is not null and new_commit is not null").dropDuplicates(["external_id", "new_commit"])
-
-
 def deduplicated_within(events: DataFrame, horizon: str = "7 days") -> DataFrame:
     """The same with bounded state: a delivery later than ``horizon`` may count again."""
     timed = events.filter("external_id is not null and new_commit is not null").withColumn("received", F.col("received_at").cast("timestamp")).withWatermark("received", horizon)
     return timed.dropDuplicatesWithinWatermark(["external_id", "new_commit"])
 
 
-def keep_new_commits(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append to the table at ``path`` the first delivery of each commit that isn't there yet; a replayed batch adds nothing."""
+def keep_first_deliveries(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write each batch's first deliveries and counts as a part of the table at ``path``.
+
+    A part is overwritten where its batch is replayed, so nothing counts twice; ``first_of_all`` puts the parts together.
+    Batches never read what is there, and no key is kept in memory between them.
+    """
 
-    def step(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        new = first_deliveries(batch)
-        try:
-            known = spark.read.parquet(path)
-        except Exception:  # the first batch finds no table
-            known = None
-        if known is not None:
-            new = new.join(known.select("external_id", "new_commit"), ["external_id", "new_commit"], "left_anti")
-        new.write.mode("append").parquet(path)
+    def step(batch: DataFrame, number: int) -> None:
+        first = first_deliveries(batch, "received_at")
+        first.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def outcomes(stream: DataFrame, repos: DataFrame) -> DataFrame:
-    """Stream-static join with the repositories."""
-    return matched(stream, repos)
+def first_of_all(spark: SparkSession, path: str) -> DataFrame:
+    """``external_id, new_commit, event_no, deliveries``: over all parts the first event received of each commit, whatever the batches were."""
+    parts = spark.read.parquet(path)
+    return parts.groupBy("external_id", "new_commit").agg(F.min_by("event_no", F.struct("received_at", "event_no")).alias("event_no"), F.sum("deliveries").alias("deliveries"))
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "1 hour", slide: str | None = None) -> DataFrame:
@@ -65,8 +58,6 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return timed.groupBy("user_id", F.session_window("at", gap).alias("w")).agg(F.count("*").alias("n_events")).select("user_id", F.col("w.start").alias("start"), "n_events")
 
 
-def to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there now and return its result (kept in memory; for small results and tests)."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def closed_windows(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append each window to the files at ``path`` once the watermark has passed its end; its state is then dropped."""
+    return stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

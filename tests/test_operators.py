@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import chunking, dense, evaluation, events, fusion, incremental, lexical, state
+from quillspark.operators import chunking, dense, evaluation, events, fusion, incremental, jobs, lexical, state
 
 
 def test_dense_against_brute_force(spark):
@@ -147,26 +147,83 @@ def test_bm25_of_the_last_delivery(spark):
 
 
 def test_push_parsing(spark):
-    azure = '{"eventType":"git.push","resource":{"refUpdates":[{"name":"refs/heads/main","oldObjectId":"1","newObjectId":"2"},{"name":"refs/tags/v1","oldObjectId":"1","newObjectId":"2"}],"repository":{"id":"r","name":"n","project":{"name":"p"}}}}'
-    github = ['{"ref":"refs/heads/dev","before":"1","after":"2","repository":{"id":7,"name":"n","owner":{"login":"o"}}}', '{"ref":"refs/heads/dev","before":"1","after":"2","deleted":true,"repository":{"id":7}}', '{"ref":"refs/tags/x"}', "not json"]
+    azure = [
+        '{"eventType":"git.push","resource":{"refUpdates":[{"name":"refs/heads/main","oldObjectId":"1","newObjectId":"2"},{"name":"refs/tags/v1","oldObjectId":"1","newObjectId":"2"},{"name":"refs/heads/dev"}],"repository":{"id":"r","name":"n","project":{"name":"p"}}}}',
+        '{"resource":{"refUpdates":[{"name":"refs/heads/x"}],"repository":{"id":""}}}', '{"eventType":"other","resource":{"refUpdates":[{"name":"refs/heads/x"}],"repository":{"id":"r"}}}', "{}",
+    ]
+    github = ['{"ref":"refs/heads/dev","before":"1","after":"2","repository":{"id":7,"name":"n","owner":{"name":"o"}}}', '{"ref":"refs/heads/dev","before":"1","after":"2","deleted":true,"repository":{"id":7}}', '{"ref":"refs/heads/dev","repository":{}}', '{"ref":"refs/tags/x"}', "not json"]
     rows = lambda bodies: spark.createDataFrame([(b,) for b in bodies], "body string")
-    assert [tuple(r) for r in events.azure_pushes(rows([azure, "{}"])).collect()] == [("r", "n", "p", "main", "1", "2")]
-    assert [tuple(r) for r in events.github_pushes(rows(github)).collect()] == [("7", "n", "o", "dev", "1", "2")]
-
-
-def test_functions_exist_for_streams(spark, sf):
+    assert [tuple(r) for r in events.azure_pushes(rows(azure)).collect()] == [("azure", "r", "n", "p", "main", "1", "2"), ("azure", "r", "n", "p", "dev", "", "")]
+    assert [tuple(r) for r in events.github_pushes(rows(github)).collect()] == [("github", "7", "n", "o", "dev", "1", "2")]
+
+
+def test_events_find_their_branch_and_provider(spark):
+    repos = spark.createDataFrame([("a", "9", "main", "azure"), ("b", "9", "dev", "azure"), ("c", "9", "dev", "github"), ("d", "", "main", "azure")], "id string, external_id string, branch string, provider string")
+    rows = [(1, "9", "dev", "x", 2, "github"), (2, "9", "dev", "x", 1, "github"), (3, "9", "main", "x", 3, "azure"), (4, "9", "other", "y", 4, "azure"), (5, "", "main", "z", 5, "azure"), (6, "9", "main", "", 6, "azure"), (7, "9", "main", None, 7, "azure"), (8, "9", "dev", "x", 8, "azure")]
+    df = spark.createDataFrame(rows, "event_no bigint, external_id string, branch string, new_commit string, received_at int, provider string")
+    got = {r["event_no"]: (r["repo_id"], r["outcome"]) for r in events.matched(df, repos).collect()}
+    assert got[1] == ("c", events.HANDLED) and got[2] == ("c", events.ENQUEUED) and got[3] == ("a", events.ENQUEUED) and got[8] == ("b", events.ENQUEUED)
+    assert got[4] == (None, events.UNKNOWN) and got[5] == (None, events.UNKNOWN) and got[6][1] == got[7][1] == events.ENQUEUED
+    without = {r["event_no"]: r["repo_id"] for r in events.matched(df.drop("provider"), repos).collect()}
+    assert without[1] == without[8] == "b"
+
+
+def test_job_states(spark):
+    import datetime as dt
+
+    at = lambda h: dt.datetime(2025, 1, 1, h)
+    none = spark.createDataFrame([], jobs.SCHEMA)
+    one = jobs.enqueued(none, spark.createDataFrame([("r", "webhook", False, at(2)), ("r", "manual", None, at(1)), ("s", "poll", True, at(3))], "repo_id string, trigger string, force boolean, at timestamp_ntz"))
+    assert sorted((r["repo_id"], r["trigger"], r["status"], r["force"], r["created_at"].hour) for r in one.collect()) == [("r", "manual", "queued", False, 1), ("s", "poll", "queued", True, 3)]
+    two = jobs.enqueued(one, spark.createDataFrame([("r", "webhook", True, at(4))], "repo_id string, trigger string, force boolean, at timestamp_ntz"))
+    assert sorted((r["repo_id"], r["force"]) for r in two.collect()) == [("r", True), ("s", True)]
+    ids = {r["repo_id"]: r["id"] for r in two.collect()}
+    run = jobs.changed(two, spark.createDataFrame([(ids["r"], "running", at(5), None), (ids["s"], "done", at(5), None)], "id string, to string, at timestamp_ntz, message string"))
+    assert {r["repo_id"]: r["status"] for r in run.collect()} == {"r": "running", "s": "queued"}
+    three = jobs.enqueued(run, spark.createDataFrame([("r", "webhook", False, at(6))], "repo_id string, trigger string, force boolean, at timestamp_ntz"))
+    assert three.filter("repo_id = 'r'").count() == 2 and {r["repo_id"]: r["status"] for r in jobs.active(three).collect()} == {"r": "running", "s": "queued"}
+    late = jobs.recovered(three, "cut short", "2025-01-02 00:00:00")
+    assert sorted((r["repo_id"], r["status"], r["error"]) for r in late.collect()) == [("r", "failed", "cut short"), ("r", "queued", None), ("s", "queued", None)]
+    assert [r["created_at"].hour for r in jobs.newest(late, 1).filter("repo_id = 'r'").collect()] == [6]
+
+
+@pytest.fixture
+def three_files(spark, sf, tmp_path):
+    """The push events in three files by time of receipt, and the events in three by their time."""
+    for name, by in (("push_events", "received_at"), ("events", "ts")):
+        df = spark.read.parquet(f"{sf}/{name}.parquet")
+        cuts = [r[0] for r in df.select(by).orderBy(by).collect()]
+        a, b = cuts[len(cuts) // 3], cuts[2 * len(cuts) // 3]
+        for i, part in enumerate((df.filter(F.col(by) < a), df.filter((F.col(by) >= a) & (F.col(by) < b)), df.filter(F.col(by) >= b))):
+            part.coalesce(1).write.mode("append" if i else "overwrite").parquet(str(tmp_path / f"{name}.parquet"))
+    return str(tmp_path)
+
+
+def test_streams_don_t_depend_on_their_batches(spark, sf, three_files):
+    from quillspark.plans import events as plans
+
+    want = sorted(map(tuple, plans.push_dedupe(spark, sf).select("external_id", "new_commit", "event_no", "deliveries").collect()))
+    assert sorted(map(tuple, plans.stream_push_dedupe(spark, three_files).select("external_id", "new_commit", "event_no", "deliveries").collect())) == want
+    whole = sorted(map(tuple, plans.stream_tumbling(spark, sf).collect()))
+    assert sorted(map(tuple, plans.stream_tumbling(spark, three_files).collect())) == whole and whole
+
+
+def test_replayed_batches_add_nothing(spark, sf, tmp_path):
     from quillspark.streaming import pushes
 
-    stream = pushes.deduplicated(pushes.table_stream(spark, sf, "push_events"))
-    assert stream.isStreaming and pushes.deduplicated_within(pushes.table_stream(spark, sf, "push_events")).isStreaming
-    assert pushes.sessions(pushes.table_stream(spark, sf, "events")).isStreaming
-    assert F.lit(1) is not None
+    for n in (1, 2):
+        pushes.keep_first_deliveries(pushes.table_stream(spark, sf, "push_events"), str(tmp_path / "t"), str(tmp_path / f"c{n}")).awaitTermination()
+    assert pushes.first_of_all(spark, str(tmp_path / "t")).agg(F.sum("deliveries")).first()[0] == spark.read.parquet(f"{sf}/push_events.parquet").filter("external_id is not null and new_commit is not null").count()
 
 
-def test_stream_replay_adds_nothing(spark, sf, tmp_path):
+def test_stream_of_outcomes_and_sessions(spark, sf, tmp_path):
     from quillspark.streaming import pushes
 
-    for n in (1, 2):
-        pushes.keep_new_commits(pushes.table_stream(spark, sf, "push_events"), str(tmp_path / "t"), str(tmp_path / f"c{n}")).awaitTermination()
-        found = spark.read.parquet(str(tmp_path / "t"))
-        assert found.count() == found.select("external_id", "new_commit").distinct().count() == events.first_deliveries(spark.read.parquet(f"{sf}/push_events.parquet")).count()
+    pushes.closed_windows(pushes.sessions(pushes.table_stream(spark, sf, "events")), str(tmp_path / "s"), str(tmp_path / "cs")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "s"))
+    batch = spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id", F.session_window(F.col("ts").cast("timestamp"), "30 minutes").alias("w")).agg(F.count("*").alias("n_events")).select("user_id", F.col("w.start").alias("start"), "n_events")
+    assert got.count() > 0 and got.exceptAll(batch).count() == 0
+    d = pushes.deduplicated_within(pushes.table_stream(spark, sf, "push_events"), "3650 days")
+    d.select("external_id", "new_commit").writeStream.format("parquet").option("path", str(tmp_path / "d")).option("checkpointLocation", str(tmp_path / "cd")).trigger(availableNow=True).start().awaitTermination()
+    once = spark.read.parquet(str(tmp_path / "d"))
+    assert once.count() == once.distinct().count() == events.first_deliveries(spark.read.parquet(f"{sf}/push_events.parquet")).count()
