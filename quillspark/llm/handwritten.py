@@ -2,11 +2,13 @@
 
 Each file becomes a token stream without comments; identifiers, numbers and strings are
 masked. Five-token shingles of the masked and of the plain stream get MinHash signatures,
-banded; candidates are verified on the exact shingle sets (Jaccard 0.8). What the clusters
-mean: masked families of files that repeat few shingles are tool output, within a
-repository or across; plain clusters across repositories are copies of third-party source;
-streams of hardly anything but literals are data dumps. Minified and bundled files show in
-their one- and two-letter identifiers, lock files in their names and keys.
+banded, whatever the file's size; candidates are verified on the exact shingle
+sets (Jaccard 0.8). What the clusters mean: a masked family within a repository is tool output
+where its files repeat their shingles, as one across repositories is where they repeat them
+more; plain clusters across repositories are copies of third-party source; streams of hardly
+anything but literals are data dumps, short identifiers tell minified files: these two show in
+a single file too, so that one without a twin is found (``route`` tells which have one). Lock
+files show in their names and keys.
 
 The members of a band's bucket are first compared with two representatives (the least and
 the greatest file), as many pairs as members. Those that no verified link covers then are
@@ -35,10 +37,8 @@ from quillspark.session import cut_lineage
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
-#: Distinct plain shingles that a copy must have, at least; a shorter text says too little.
-LEAST_COPY = 60
-#: Tool output: each masked shingle occurs so often on average, and so few of them are distinct.
-REPEATS, ALONE, FEW = 6.0, 8.0, 150
+#: Tool output: so often each masked shingle occurs on average in a family of one repository, in one across repositories, in a file alone.
+WITHIN, REPEATS, ALONE = 5.0, 6.0, 8.0
 #: Data dumps: share of literals among the tokens, and distinct masked shingles at most.
 LITERALS, PLAIN = 0.38, 60
 #: Minified: share of identifiers of up to two characters.
@@ -140,7 +140,7 @@ def describe(path: str, text: str, seen: Hashes) -> tuple[str, np.ndarray, np.nd
 
 
 def described(chunks: DataFrame) -> DataFrame:
-    """``repo_id, path, kind, masked, plain, repeats, masked_bands, plain_bands`` of each file; bands only where clusters matter."""
+    """``repo_id, path, kind, masked, plain, repeats, masked_bands, plain_bands`` of each file; bands only of what a cluster could decide, by shares, never by size."""
     columns = ["repo_id", "path", "kind", "masked", "plain", "repeats", "masked_bands", "plain_bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,8 +149,7 @@ def described(chunks: DataFrame) -> DataFrame:
             rows: list[tuple] = []
             for path, parts in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 kind, masked, plain, repeats = describe(path, file_text(parts), seen)
-                family = not kind and repeats >= REPEATS and len(masked) <= FEW
-                copy = not kind and not family and len(plain) >= LEAST_COPY
+                family, copy = bool(kind) or repeats >= WITHIN, not kind
                 rows.append((kind, masked.tobytes() if family else b"", plain.tobytes() if copy else b"", repeats, bands(masked) if family else [], bands(plain) if copy else []))
             kinds = (pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(list(c), k) for c, k in zip(zip(*rows), kinds))] if rows else [b.column(0), b.column(1), *(pa.array([], k) for k in kinds)], names=columns)
@@ -192,12 +191,27 @@ def verified(files: DataFrame, keys: str, sets: str, across: bool) -> DataFrame:
 
 
 def not_handwritten(chunks: DataFrame) -> DataFrame:
-    """``repo_id, path, kind``: ``lock``, ``minified``, ``data``, ``generated`` or ``copied``."""
+    """``repo_id, path, kind, route``: ``lock``, ``minified``, ``data``, ``generated`` or ``copied``, and how the clusters tell it.
+
+    ``route``: ``repository`` (a masked twin in the repository), ``across`` (a twin in another one), ``alone`` or ``name``.
+    """
     files = cut_lineage(described(chunks))
-    alone = files.filter("kind <> ''").select("repo_id", "path", "kind")
-    candidates = files.filter("kind = '' and length(masked) > 0")
-    family = verified(candidates, "masked_bands", "masked", False).select("repo_id", "path")
-    repeating = candidates.filter(F.col("repeats") >= ALONE).select("repo_id", "path")
-    made = family.union(repeating).distinct().withColumn("kind", F.lit("generated"))
-    copied = verified(files.filter("kind = '' and length(plain) > 0"), "plain_bands", "plain", True).select("repo_id", "path", F.lit("copied").alias("kind"))
-    return alone.union(made).union(copied)
+    sources = files.filter("length(masked) > 0")
+    in_repo = sources.withColumn("masked_bands", F.transform("masked_bands", lambda x: F.xxhash64(x, F.col("repo_id"))))
+    within = verified(in_repo, "masked_bands", "masked", False).select("repo_id", "path", F.lit(True).alias("within"))
+    across = verified(sources.filter((F.col("repeats") >= REPEATS) | (F.col("kind") != "")), "masked_bands", "masked", True).select("repo_id", "path", F.lit(True).alias("across"))
+    copied = verified(files.filter("kind = '' and length(plain) > 0"), "plain_bands", "plain", True).select("repo_id", "path", F.lit(True).alias("copied"))
+    told = files.select("repo_id", "path", "kind", "repeats")
+    for cluster in (within, across, copied):
+        told = told.join(cluster, ["repo_id", "path"], "left")
+    told = told.fillna(False, ["within", "across", "copied"])
+    r = F.col("repeats")
+    made = F.col("within") & (r >= WITHIN) | F.col("across") & (r >= REPEATS) | (r >= ALONE)
+    kind = F.when(F.col("kind") != "", F.col("kind")).when(made, "generated").when(F.col("copied"), "copied")
+    route = F.when(F.col("kind") == "lock", "name").when(F.col("kind") == "copied", "across").when(F.col("within"), "repository").when(F.col("across"), "across").otherwise("alone")
+    return told.withColumn("kind", kind).filter("kind is not null").select("repo_id", "path", "kind", route.alias("route"))
+
+
+def routes(found: DataFrame) -> DataFrame:
+    """``kind, route, n_files``."""
+    return found.groupBy("kind", "route").agg(F.count("*").alias("n_files"))

@@ -32,10 +32,15 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same files with what they are."""
+    """The same files with what they are, and whether a cluster tells it."""
     return handwritten.not_handwritten(table(spark, sf_dir, "code_chunks"))
 
 
+def p2_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many files of each kind a cluster within a repository, one across or the file alone tells."""
+    return handwritten.routes(p2_kinds(spark, sf_dir))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunk and line of every usable credential value."""
     return credentials.found_lines(table(spark, sf_dir, "code_chunks"))
@@ -109,7 +114,7 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_errors, p1_rates, p2_found, p2_kinds, p3_found, p3_redacted, p3_by_run, p4_found, p4_pieces, p5_found, p5_neighbours, p5_recall, p6_ids, p7_packed, p7_fill, p8_found, p8_bands, p8_profile)}
+    return {f.__name__: f for f in (p1_found, p1_errors, p1_rates, p2_found, p2_kinds, p2_routes, p3_found, p3_redacted, p3_by_run, p4_found, p4_pieces, p5_found, p5_neighbours, p5_recall, p6_ids, p7_packed, p7_fill, p8_found, p8_bands, p8_profile)}
 
 
 P4_FOUND = """

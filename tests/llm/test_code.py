@@ -327,6 +327,24 @@ def test_kinds(spark):
     assert kinds_of(spark, {("r", "only.py"): written(5)}) == {}
 
 
+def test_size_decides_nothing(spark):
+    """Generated families of many different shingles, and copies of a few lines."""
+    shapes = [f"  public {'int' if i % 2 else 'String'} m{{0}}({', '.join(f'int p{j}' for j in range(i))}) {{{{ return {' + '.join(f'p{j}' for j in range(i)) or '0'}; }}}}\n" for i in range(14)]
+    long = lambda n: "class A {\n" + "".join(shape.format(n + str(k)) for k in range(12) for shape in shapes) + "}\n"
+    short = written(31, 5)
+    got = kinds_of(spark, {("r", "gen/a.java"): long("x"), ("r", "gen/b.java"): long("y"), ("s", "lib/s.py"): short, ("t", "other/s.py"): short, ("t", "own.py"): written(8, 5)})
+    assert got == {("r", "gen/a.java"): "generated", ("r", "gen/b.java"): "generated", ("s", "lib/s.py"): "copied", ("t", "other/s.py"): "copied"}
+
+
+def test_routes(spark):
+    both = [getters([f"N{chr(65 + i)}x" for i in range(12)]), getters([f"M{chr(65 + i)}y" for i in range(14)])]
+    files = {("r", "a.java"): both[0], ("r", "b.java"): both[1], ("s", "c.java"): both[0], ("v", "yarn.lock"): "a"}
+    df = spark.createDataFrame(chunk_rows(files, 40), SCHEMA)
+    got = {(r["repo_id"], r["path"]): (r["kind"], r["route"]) for r in handwritten.not_handwritten(df).collect()}
+    assert got == {("r", "a.java"): ("generated", "repository"), ("r", "b.java"): ("generated", "repository"), ("s", "c.java"): ("generated", "across"), ("v", "yarn.lock"): ("lock", "name")}
+    assert {(r["kind"], r["route"]): r["n_files"] for r in handwritten.routes(handwritten.not_handwritten(df)).collect()} == {("generated", "repository"): 2, ("generated", "across"): 1, ("lock", "name"): 1}
+
+
 @pytest.mark.parametrize("across", [False, True])
 def test_links_between_inner_members_of_a_bucket(spark, across):
     # in order of names: one end, two alike, the other end; one bucket of all, which alone holds the pair
