@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-HEADING = r"^(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*\r?$"
+from quillspark.operators import units
+
+HEADING = r"^(#{1,6})[ \t]+(\S.*?)\s*$"
 
 
 def character_windows(docs: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
@@ -18,50 +20,50 @@ def character_windows(docs: DataFrame, size: int = 1000, overlap: int = 200) ->
 
 
 def markdown_sections(docs: DataFrame) -> DataFrame:
-    """``id, section, depth, heading, first_line, last_line, trail``: one row per ATX heading and one for what stands before the first.
+    """``id, section, depth, heading, first_line, last_line``: one row per ATX heading and one for what stands before the first.
 
-    ``trail`` names the headings above, outermost first, joined by `` > ``. Headings inside code fences count, as in the
-    engine this follows. Only heading lines pass through the windows, partitioned by document.
+    Headings inside code fences count, as in the engine this follows. Only heading lines pass through the window, partitioned by document.
     """
     lines = docs.filter("text is not null").select("id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"), F.size(F.split("text", "\n", -1)).alias("n_lines"))
     heads = lines.filter(F.col("line").rlike(HEADING) | (F.col("at") == 0))
-    depth = F.length(F.regexp_extract("line", HEADING, 1))
     w = Window.partitionBy("id").orderBy("at")
-    heads = heads.select("id", "at", "n_lines", depth.alias("depth"), F.regexp_extract("line", HEADING, 2).alias("heading"))
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = F.collect_list(F.struct("depth", "heading")).over(upto)
-    # of the headings so far, those that no later one of the same or a lesser depth has closed
-    open_ = F.aggregate(seen, F.array().cast("array<struct<depth:int,heading:string>>"), lambda kept, x: F.concat(F.filter(kept, lambda y: y.depth < x.depth), F.array(x)))
-    trail = F.array_join(F.transform(F.filter(open_, lambda x: x.depth > 0), lambda x: x.heading), " > ")
     return heads.select(
-        "id", F.row_number().over(w).alias("section"), "depth", "heading", (F.col("at") + 1).alias("first_line"), F.coalesce(F.lead("at").over(w), F.col("n_lines")).alias("last_line"), trail.alias("trail")
-    )
+        "id", F.row_number().over(w).alias("section"), F.length(F.regexp_extract("line", HEADING, 1)).alias("depth"), F.regexp_extract("line", HEADING, 2).alias("heading"), (F.col("at") + 1).alias("first_line"),
+        F.coalesce(F.lead("at").over(w), F.col("n_lines")).alias("last_line"),
+    )
+
 
+def section_trails(docs: DataFrame) -> DataFrame:
+    """``id, first_line, trail``: each heading with those above it, outermost first, joined by `` > ``; one pass over a document."""
 
-def _windows(lines: list[str], most: int, overlap: int) -> Iterator[tuple[int, int]]:
-    """Spans of lines of at most ``most`` bytes (one line at least), stepping back ``overlap`` lines where the span is longer."""
-    size = [len(x.encode()) + 1 for x in lines]
-    start = 0
-    while start < len(lines):
-        end, total = start + 1, size[start]
-        while end < len(lines) and total + size[end] <= most + 1:
-            total += size[end]
-            end += 1
-        yield start, end
-        if end == len(lines):
-            return
-        start = end - overlap if end - start > overlap else end
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, first, trail = [], [], []
+            for i, text in enumerate(b.column(1).to_pylist()):
+                path: list[str] = []
+                for n, line in enumerate(text.split("\n"), 1):
+                    m = units.HEADING.match(line) if line[:1] == "#" else None
+                    if m:
+                        del path[len(m[1]) - 1 :]
+                        path.append(m[2])
+                        rows.append(i)
+                        first.append(n)
+                        trail.append(" > ".join(path))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(first, pa.int32()), pa.array(trail, pa.string())], names=["id", "first_line", "trail"])
 
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.filter("text is not null").select("id", "text").mapInArrow(run, f"id {kind}, first_line int, trail string")
 
-def line_windows(docs: DataFrame, most: int = 2000, overlap: int = 3) -> DataFrame:
-    """``id, part, first_line, last_line, chunk``: whole lines up to ``most`` bytes; a longer line stands alone."""
+
+def _cut(docs: DataFrame, cut: Callable[[list[str]], Iterator[tuple[int, int]]]) -> DataFrame:
+    """``id, part, first_line, last_line, chunk`` of the spans of lines that ``cut`` finds in each text that isn't blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, part, first, last, chunk = [], [], [], [], []
             for i, text in enumerate(b.column(1).to_pylist()):
                 lines = text.split("\n")
-                for n, (s, e) in enumerate(_windows(lines, most, overlap)):
+                for n, (s, e) in enumerate(cut(lines)):
                     rows.append(i)
                     part.append(n)
                     first.append(s + 1)
@@ -73,19 +75,11 @@ def line_windows(docs: DataFrame, most: int = 2000, overlap: int = 3) -> DataFra
     return docs.filter(F.col("text").rlike(r"\S")).select("id", "text").mapInArrow(run, f"id {kind}, part int, first_line int, last_line int, chunk string")
 
 
-def paragraphs(docs: DataFrame, least: int = 200, most: int = 2000) -> DataFrame:
-    """``id, part, chunk``: paragraphs joined while the one before is below ``least`` bytes and both stay within ``most``.
+def line_windows(docs: DataFrame, most: int = 2000) -> DataFrame:
+    """``id, part, first_line, last_line, chunk``: whole lines up to ``most`` bytes, longer windows sharing three lines; a longer line stands alone."""
+    return _cut(docs, lambda lines: ((w.first, w.end) for w in units.line_windows(lines, units.Piece(0, len(lines)), most)))
 
-    The chunks of a text that no paragraph exceeds, put together, give the text again. A longer paragraph is cut at lines.
-    """
-    size = F.octet_length
-    pieces = F.split(F.regexp_replace("text", r"(\n[ \t]*\n)(?=[^\n])", "$1\u0001"), "\u0001", -1)
-    flat = F.flatten(F.transform(pieces, lambda p: F.when(size(p) <= most, F.array(p)).otherwise(F.split(F.regexp_replace(p, "(\n)(?=[^\n])", "$1\u0001"), "\u0001", -1))))
 
-    def step(done: Column, p: Column) -> Column:
-        last = F.element_at(done, -1)
-        join = (F.size(done) > 0) & (size(last) < least) & (size(last) + size(p) <= most)
-        return F.when(join, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.concat(last, p)))).otherwise(F.concat(done, F.array(p)))
-
-    packed = F.aggregate(flat, F.array().cast("array<string>"), step)
-    return docs.filter(F.col("text").rlike(r"\S")).select("id", F.posexplode(packed).alias("part", "chunk"))
+def paragraphs(docs: DataFrame, least: int = 200, most: int = 2000) -> DataFrame:
+    """``id, part, first_line, last_line, chunk``: paragraphs packed up to ``most`` bytes; a longer one is cut at lines. Blank lines at the beginning belong to no chunk."""
+    return _cut(docs, lambda lines: ((g[0].first, g[-1].end) for g, _, _ in units.packed(lines, units.paragraph_pieces(lines), most, least, True)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import paths as P
 from quillspark.functions import redaction as R
 from quillspark.functions import text as T
-from quillspark.operators import chunking, incremental, state
+from quillspark.operators import chunking, incremental, state, units
 from quillspark.session import table
 
 
@@ -110,18 +110,64 @@ def markdown_sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 def section_trails(spark: SparkSession, d: str) -> DataFrame:
-    """Sections of documents with the headings above them."""
-    return chunking.markdown_sections(_docs(spark, d)).select("id", "section", "trail")
+    """Headings of documents with the headings above them."""
+    return chunking.section_trails(_docs(spark, d))
 
 
 def line_windows(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.line_windows(_docs(spark, d)).select("id", "part", "first_line", "last_line", "chunk")
+    return chunking.line_windows(_docs(spark, d))
 
 
 def paragraph_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.paragraphs(_docs(spark, d))
 
 
+def _covered(parts: DataFrame, *keys: str) -> DataFrame:
+    """By text: lines with something on them that the parts cover, parts above 2,000 bytes of several lines, and gaps in the numbers of parts."""
+    lines = parts.select(*keys, F.posexplode(F.split("chunk", "\n", -1)).alias("i", "line"), "first_line").filter(F.col("line").rlike(r"[^\s]"))
+    n = lines.select(*keys, F.col("first_line") + F.col("i")).distinct().groupBy(*keys).agg(F.count("*").alias("n_lines"))
+    odd = parts.groupBy(*keys).agg(
+        F.count_if((F.octet_length("chunk") > 2000) & (F.col("first_line") < F.col("last_line"))).alias("too_long"), (F.max("part") + 1 - F.count("*")).cast("bigint").alias("gaps"),
+        F.count_if(F.size(F.split("chunk", "\n", -1)) != F.col("last_line") - F.col("first_line") + 1).alias("odd_lines"),
+    )
+    return n.join(odd, list(keys))
+
+
+def line_windows_cover(spark: SparkSession, d: str) -> DataFrame:
+    """That windows of lines lose no line, keep their limit and are numbered without gaps."""
+    return _covered(line_windows(spark, d), "id")
+
+
+def paragraphs_cover(spark: SparkSession, d: str) -> DataFrame:
+    return _covered(paragraph_chunks(spark, d), "id")
+
+
+def _units(spark: SparkSession, d: str) -> DataFrame:
+    return units.chunk_files(units.whole_files(table(spark, d, "code_chunks")))
+
+
+def chunk_files(spark: SparkSession, d: str) -> DataFrame:
+    """Every file cut anew into units, with the hash of each unit's text and header."""
+    return _units(spark, d).select("repo_id", "path", "ordinal", "kind", "symbol", "parent_symbol", "start_line", "end_line", "part", "parts", "symbols", F.sha2(F.concat_ws("\n", "header", "text"), 256).alias("sha"))
+
+
+def code_units(spark: SparkSession, d: str) -> DataFrame:
+    """Units of code by language and kind: how many, how many with a name, and their bytes."""
+    u = _units(spark, d).select(P.language(F.col("path")).alias("language"), "kind", (F.col("symbol") != "").alias("named"), F.octet_length("text").alias("n")).filter("language is not null")
+    return u.groupBy("language", "kind").agg(F.count("*").alias("n_units"), F.count_if("named").alias("n_named"), F.sum("n").alias("n_bytes"))
+
+
+def markdown_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Units of documents among the files."""
+    return _units(spark, d).filter(P.category(F.col("path")) == "doc").select("repo_id", "path", "ordinal", "symbol", "parent_symbol", "start_line", "end_line", "part", "parts")
+
+
+def units_cover(spark: SparkSession, d: str) -> DataFrame:
+    """That the units of a file lose no line, keep their limit and are numbered without gaps."""
+    u = _units(spark, d).select("repo_id", "path", F.col("ordinal").alias("part"), F.col("start_line").alias("first_line"), F.col("end_line").alias("last_line"), F.col("text").alias("chunk"))
+    return _covered(u, "repo_id", "path")
+
+
 def _manifest(spark: SparkSession, d: str) -> DataFrame:
     return incremental.latest(table(spark, d, "files"), ["repo_id", "path"], "indexed_at")
 
@@ -179,7 +225,7 @@ def stats_of_runs(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = [
     path_typing, typing_counts, scalar_filter_scan, chunk_lookup, identifier_split, indexed_text, slugs, path_slugs, byte_clips, line_slices, redact_counts, redact_documents, redact_chunks, content_hash_duplicates,
-    char_windows, markdown_sections, section_trails, line_windows, paragraph_chunks, manifest_latest, manifest_diff, manifest_deleted, sync_counters, rewritten_chunks, rebuild_gate, repo_totals, enrichment_cache, stats_of_runs,
+    char_windows, markdown_sections, section_trails, line_windows, line_windows_cover, paragraph_chunks, paragraphs_cover, chunk_files, code_units, markdown_chunks, units_cover, manifest_latest, manifest_diff, manifest_deleted, sync_counters, rewritten_chunks, rebuild_gate, repo_totals, enrichment_cache, stats_of_runs,
 ]
 
 
@@ -261,7 +307,9 @@ _REDACTED = rf"""k0 AS (SELECT id, text AS orig, text AS t, 0 AS n FROM src), {_
   redacted AS (SELECT id, t2 <> orig AS changed, sha256(t2) AS sha, n::BIGINT AS n_api_key, nj::BIGINT AS n_jwt, ne::BIGINT AS n_email, np::BIGINT AS n_phone, len(list_filter(hit, lambda h: h))::BIGINT AS n_secret FROM (
     SELECT *, CASE WHEN len(ms) = 0 THEN t ELSE array_to_string(list_transform(range(1, len(ms) + 1), lambda i: g[i] || CASE WHEN hit[i] THEN regexp_extract(ms[i], '^([A-Z0-9_]+\s*[:=]\s*)', 1) || '[SECRET]' ELSE ms[i] END), '')
       || g[len(ms) + 1] END AS t2 FROM s1))"""
-_HEADING = r"^(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*\r?$"
+_HEADING = r"^(#{1,6})[ \t]+(\S.*?)\s*$"
+_DOC_LINES = r"""(SELECT id, count(*) AS n_lines, 0::BIGINT AS too_long, 0::BIGINT AS gaps, 0::BIGINT AS odd_lines FROM (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL)
+        WHERE regexp_matches(line, '[^\s\v]') GROUP BY id)"""
 
 SQL = {
     "path_typing": f"SELECT path, {_SUFFIX} AS suffix, {_LANGUAGE} AS language, {_CATEGORY} AS category, {_INDEXABLE} AS indexable FROM (SELECT DISTINCT path FROM files)",
@@ -289,6 +337,15 @@ SQL = {
         h AS (SELECT * FROM e WHERE regexp_matches(line, '{_HEADING}') OR row_no = 0)
         SELECT id, row_number() OVER w AS section, length(regexp_extract(line, '{_HEADING}', 1)) AS depth, regexp_extract(line, '{_HEADING}', 2) AS heading, row_no + 1 AS first_line, coalesce(lead(row_no) OVER w, n) AS last_line
         FROM h WINDOW w AS (PARTITION BY id ORDER BY row_no)""",
+    "section_trails": rf"""WITH l AS (SELECT doc_id AS id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), e AS (SELECT id, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM l),
+        h AS (SELECT id, list(struct_pack(d := length(regexp_extract(line, '{_HEADING}', 1)), p := [regexp_extract(line, '{_HEADING}', 2)]) ORDER BY n) AS hs, list(n ORDER BY n) AS ns FROM e WHERE regexp_matches(line, '{_HEADING}') GROUP BY id),
+        i AS (SELECT id, hs, ns, unnest(range(1, len(hs) + 1)) AS k FROM h)
+        SELECT id, ns[k]::INT AS first_line, array_to_string(list_reduce(hs[1:k], lambda a, x: struct_pack(d := x.d, p := list_concat(a.p[1:x.d - 1], x.p))).p, ' > ') AS trail FROM i""",
+    "line_windows_cover": f"SELECT * FROM {_DOC_LINES}",
+    "paragraphs_cover": f"SELECT * FROM {_DOC_LINES}",
+    "units_cover": r"""SELECT repo_id, path, count(*) AS n_lines, 0::BIGINT AS too_long, 0::BIGINT AS gaps, 0::BIGINT AS odd_lines FROM (
+        SELECT DISTINCT repo_id, path, n FROM (SELECT repo_id, path, unnest(string_split(content, chr(10))) AS line, start_line + generate_subscripts(string_split(content, chr(10)), 1) - 1 AS n FROM code_chunks WHERE content IS NOT NULL)
+        WHERE regexp_matches(line, '[^\s\v]')) GROUP BY ALL""",
     "manifest_latest": f"SELECT repo_id, path, sha, chunk_count, indexed_at FROM {_MANIFEST}",
     "manifest_diff": f"SELECT repo_id, path, state FROM {_DIFF}",
     "manifest_deleted": f"SELECT repo_id, path FROM {_DIFF} WHERE state = 'deleted'",
