@@ -181,8 +181,10 @@ def verified(files: DataFrame, keys: str, sets: str, across: bool) -> DataFrame:
         both = pairs.join(held.select(F.col("x").alias("f"), F.col("s").alias("a")), "f").join(held.select(F.col("x").alias("g"), F.col("s").alias("b")), "g")
         return both.select("f.repo_id", "f.path", "a", "b").mapInArrow(run, "repo_id string, path string, alike boolean").filter("alike").select("repo_id", "path")
 
-    ends = posted.groupBy("key").agg(F.min("f").alias("low"), F.max("f").alias("high")).filter("low <> high")
-    covered = cut_lineage(alike(posted.join(ends, "key").select("f", F.explode(F.array("low", "high")).alias("g")).filter("f <> g")))
+    sized = F.struct("f", "n")
+    ends = posted.groupBy("key").agg(F.min(sized).alias("low"), F.max(sized).alias("high")).filter("low.f <> high.f")
+    to_ends = posted.join(ends, "key").select("f", "n", F.explode(F.array("low", "high")).alias("e")).select("f", "n", F.col("e.f").alias("g"), F.col("e.n").alias("m"))
+    covered = cut_lineage(alike(to_ends.filter("f <> g").filter(F.least("n", "m") >= SIMILARITY * F.greatest("n", "m"))))
     # the ends of a bucket say nothing of the links among its other members
     open_ = posted.join(ends.select("key"), "key").join(covered.select(me.alias("f")).distinct(), "f", "left_anti")
     others = posted.select("key", F.col("f").alias("g"), F.col("n").alias("m"))

@@ -329,7 +329,7 @@ def test_kinds(spark):
 
 def test_size_decides_nothing(spark):
     """Generated families of many different shingles, and copies of a few lines."""
-    shapes = [f"  public {'int' if i % 2 else 'String'} m{{0}}({', '.join(f'int p{j}' for j in range(i))}) {{{{ return {' + '.join(f'p{j}' for j in range(i)) or '0'}; }}}}\n" for i in range(14)]
+    shapes = [f"  public {'int' if i % 2 else 'String'} m{{0}}({', '.join(f'int value{j}' for j in range(i))}) {{{{ return {' + '.join(f'value{j}' for j in range(i)) or '0'}; }}}}\n" for i in range(14)]
     long = lambda n: "class A {\n" + "".join(shape.format(n + str(k)) for k in range(12) for shape in shapes) + "}\n"
     short = written(31, 5)
     got = kinds_of(spark, {("r", "gen/a.java"): long("x"), ("r", "gen/b.java"): long("y"), ("s", "lib/s.py"): short, ("t", "other/s.py"): short, ("t", "own.py"): written(8, 5)})
