@@ -2,7 +2,7 @@
 
 Every document gets its number of tokens and a place on a Hilbert curve: its bag of
 hashed pre-tokens, projected to ``DIMS`` dimensions and quantised. Items are range-sorted
-along the curve; each task packs successive blocks of ``BLOCK`` neighbours, the longest
+along the curve; each task packs successive blocks of neighbours (``block_of``), the longest
 first into the fullest container that still holds it, and hands the worse filled
 containers' items on to the next block.
 
@@ -29,7 +29,9 @@ from quillspark.llm.tokenizer import TOKENIZER_DIR, encoder
 from quillspark.session import cut_lineage
 
 BUCKETS, DIMS, BITS = 4096, 4, 8
-BLOCK = 4000
+#: Items that are packed together: a run of so many tokens of small containers' items, within these bounds. Shorter runs hold
+#: neighbours closer together, longer ones leave less space unused.
+RUN_TOKENS, LEAST_BLOCK, BLOCK = 2_000_000, 1000, 4000
 #: Containers filled less than this are emptied again into the next block.
 GOOD_FILL = 0.98
 
@@ -123,6 +125,11 @@ def pack_block(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+def block_of(capacity: int) -> int:
+    """Neighbours along the curve that are packed together for containers of a capacity."""
+    return max(LEAST_BLOCK, min(BLOCK, RUN_TOKENS // capacity))
+
+
 def pack(docs: DataFrame, windows: DataFrame, folder: str = TOKENIZER_DIR) -> DataFrame:
     """``window_name, container, doc_id, part, first_token, n_tokens``: where each item lies."""
     sized = cut_lineage(placed(docs, folder))
@@ -145,6 +152,8 @@ def pack(docs: DataFrame, windows: DataFrame, folder: str = TOKENIZER_DIR) -> Da
 
         def close(rest: bool) -> None:
             nonlocal made, waiting
+            if not waiting:
+                return
             again = []
             for members in pack_block([w[3] for w in waiting], capacity):
                 if not rest and sum(waiting[i][3] for i in members) < GOOD_FILL * capacity:
@@ -154,7 +163,7 @@ def pack(docs: DataFrame, windows: DataFrame, folder: str = TOKENIZER_DIR) -> Da
                 made += 1
             # what can't be filled well is let go before it fills the block
             waiting = again
-            if len(waiting) > BLOCK // 2:
+            if len(waiting) > block_of(capacity) // 2:
                 close(True)
 
         def flush() -> pa.RecordBatch:
@@ -176,7 +185,7 @@ def pack(docs: DataFrame, windows: DataFrame, folder: str = TOKENIZER_DIR) -> Da
                     part += 1
                     first += capacity
                 waiting.append((doc, part, first, n - first))
-                if len(waiting) >= BLOCK:
+                if len(waiting) >= block_of(capacity):
                     close(False)
             if len(out) > 5000:
                 yield flush()
@@ -192,3 +201,12 @@ def fill(packed: DataFrame, windows: DataFrame) -> DataFrame:
     by = packed.groupBy("window_name").agg(F.countDistinct("container").alias("containers"), F.count("*").alias("items"), F.sum("n_tokens").alias("tokens"))
     capacity = windows.groupBy("window_name").agg(F.min("capacity_tokens").alias("capacity_tokens"))
     return by.join(capacity, "window_name").select("window_name", "containers", "items", "tokens", F.round(1 - F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 4).alias("unused_share"))
+
+
+def validity(packed: DataFrame, windows: DataFrame) -> DataFrame:
+    """``window_name, n_docs, too_full, torn``: documents placed, containers above the capacity, and documents in several parts that one container could have held or whose parts don't join."""
+    capacity = windows.groupBy("window_name").agg(F.min("capacity_tokens").alias("capacity_tokens"))
+    full = packed.groupBy("window_name", "container").agg(F.sum("n_tokens").alias("n")).join(capacity, "window_name").groupBy("window_name").agg(F.count_if(F.col("n") > F.col("capacity_tokens")).alias("too_full"))
+    parts = packed.groupBy("window_name", "doc_id").agg(F.count("*").alias("parts"), F.countDistinct("part").alias("numbers"), F.max("part").alias("last"), F.sum("n_tokens").alias("n"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end")).join(capacity, "window_name")
+    torn = (F.col("parts") > 1) & (F.col("n") <= F.col("capacity_tokens")) | (F.col("numbers") != F.col("parts")) | (F.col("last") != F.col("parts") - 1) | (F.col("end") != F.col("n"))
+    return parts.groupBy("window_name").agg(F.count("*").alias("n_docs"), F.count_if(torn).alias("torn")).join(full, "window_name").select("window_name", "n_docs", "too_full", "torn")

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _DECLARES = re.compile(
@@ -142,7 +142,10 @@ def oversized(chunks: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def split_oversized(chunks: DataFrame, limits: DataFrame) -> DataFrame:
-    """``id, piece, start_line, end_line, shared_lines, content`` of every oversized chunk; pieces count from 0."""
+    """``id, piece, start_line, end_line, shared_lines, content`` of every oversized chunk; pieces count from 0.
+
+    A ``min_bytes`` above half of ``max_bytes`` counts as that half, so that a window of permitted lengths always exists.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,3 +159,11 @@ def split_oversized(chunks: DataFrame, limits: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["id", "piece", "start_line", "end_line", "shared_lines", "content"])
 
     return oversized(chunks, limits).mapInArrow(run, "id string, piece int, start_line int, end_line int, shared_lines int, content string")
+
+
+def coverage(pieces: DataFrame, limits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``id, first_line, last_line, too_long, gaps``: lines that the pieces of a chunk reach over, pieces above the limit, and lines between neighbours that none holds."""
+    limit = oversized(chunks, limits).select("id", "max_bytes")
+    before = F.lag("end_line").over(Window.partitionBy("id").orderBy("piece"))
+    rows = pieces.join(limit, "id").withColumn("gap", F.coalesce(F.col("start_line") > before + 1, F.lit(False)))
+    return rows.groupBy("id").agg(F.min("start_line").alias("first_line"), F.max("end_line").alias("last_line"), F.count_if(F.octet_length("content") > F.col("max_bytes")).alias("too_long"), F.count_if("gap").alias("gaps"))

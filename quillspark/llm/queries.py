@@ -66,6 +66,12 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.split_oversized(table(spark, sf_dir, "code_chunks"), table(spark, sf_dir, "chunker_config"))
 
 
+def p4_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """That the pieces of every oversized chunk reach over its lines, without gaps and within the limit."""
+    chunks, limits = table(spark, sf_dir, "code_chunks"), table(spark, sf_dir, "chunker_config")
+    return pieces.coverage(pieces.split_oversized(chunks, limits), limits, chunks)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of ids of a cosine of at least 0.90, one among the 10 nearest of the other."""
     chunks = table(spark, sf_dir, "code_chunks")
@@ -97,6 +103,11 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(p7_packed(spark, sf_dir), table(spark, sf_dir, "context_windows"))
 
 
+def p7_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """That every document lies in every window's containers, whole where it fits, none of them too full."""
+    return packing.validity(p7_packed(spark, sf_dir), table(spark, sf_dir, "context_windows"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reading band of every document of at least 40 words."""
     return p8_bands(spark, sf_dir).filter("n_words >= 40").select("doc_id", "band")
@@ -114,7 +125,7 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_errors, p1_rates, p2_found, p2_kinds, p2_routes, p3_found, p3_redacted, p3_by_run, p4_found, p4_pieces, p5_found, p5_neighbours, p5_recall, p6_ids, p7_packed, p7_fill, p8_found, p8_bands, p8_profile)}
+    return {f.__name__: f for f in (p1_found, p1_errors, p1_rates, p2_found, p2_kinds, p2_routes, p3_found, p3_redacted, p3_by_run, p4_found, p4_pieces, p4_cover, p5_found, p5_neighbours, p5_recall, p6_ids, p7_packed, p7_fill, p7_valid, p8_found, p8_bands, p8_profile)}
 
 
 P4_FOUND = """
@@ -123,5 +134,12 @@ WHERE octet_length(encode(c.content)) > k.max_bytes
 """
 
 
+P4_COVER = """
+WITH c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY coalesce(indexed_at, '') DESC, content DESC) AS r_ FROM code_chunks JOIN chunker_config USING (category) WHERE octet_length(encode(content)) > max_bytes) WHERE r_ = 1)
+SELECT id, start_line AS first_line, start_line + len(string_split(content, chr(10))) - 1 AS last_line, 0::BIGINT AS too_long, 0::BIGINT AS gaps FROM c
+"""
+P7_VALID = "SELECT window_name, (SELECT count(*) FROM documents WHERE text <> '') AS n_docs, 0::BIGINT AS too_full, 0::BIGINT AS torn FROM context_windows"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_FOUND}
+    return {"p4_found": P4_FOUND, "p4_cover": P4_COVER, "p7_valid": P7_VALID}

@@ -6,9 +6,8 @@ while the word is rare. A document's level is predicted from quantiles of the gr
 of its known words by an ordinal model calibrated on labelled documents whose words
 were graded on the other half of the labels.
 
-Bounds: the fit takes at most ``MAX_LABELLED`` labelled documents (those of the lowest
-hash of their id) and keeps the ``MAX_WORDS`` words that most of them use. Corpus rows
-are never sampled.
+Bound: the fit takes at most ``MAX_LABELLED`` labelled documents (those of the lowest hash of
+their id) and every word that at least ``MIN_TEXTS`` of them use. Corpus rows are never sampled.
 
 Defined results: only running prose counts (code, tables, traces, links and headings
 don't); a text without known words gets the most frequent band; null texts have no
@@ -27,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.session import cut_lineage
+
 BANDS = ("basic", "standard", "demanding")
 MAX_LABELLED = 20_000
-MAX_WORDS = 60_000
 #: Labelled texts that must use a word, at least, and the weight of the middle grade.
 MIN_TEXTS, SHRINK = 3, 1.0
 #: Grades are kept as whole steps.
@@ -137,44 +137,41 @@ def labelled_words(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """The model, or None without labels. Word counts are a Spark job; the weights are fitted on the bounded sample."""
-    rows = labelled_words(docs, labels).persist()
-    try:
-        each = rows.select("grade", "half", F.explode(F.array_distinct("words")).alias("word"))
-        counts = word_grades(each).groupBy("word").agg(
-            *[F.coalesce(F.sum(F.when(F.col("half") == h, F.col(f"n{g}"))), F.lit(0)).alias(f"h{h}_{g}") for h in (-1, 0, 1) for g in range(3)]
-        )
-        total = sum(F.col(f"h{h}_{g}") for h in (-1, 0, 1) for g in range(3))
-        kept = counts.withColumn("total", total).filter(F.col("total") >= MIN_TEXTS).orderBy(F.desc("total"), "word").limit(MAX_WORDS).toArrow()
-        if not kept.num_rows:
-            return None
-        words = kept.column("word").to_pylist()
-        c = np.array([[kept.column(f"h{h}_{g}").to_numpy() for g in range(3)] for h in (-1, 0, 1)], dtype=float).transpose(2, 0, 1)
-        by_half = np.stack([c[:, 1], c[:, 0] + c[:, 2]], 1)
-        n = rows.groupBy("half", "grade").count().collect()
-        texts = np.zeros((2, 3))
-        for r in n:
-            texts[abs(r["half"]), r["grade"]] += r["count"]
-        other = [dict(zip(words, _grades(by_half[:, 1 - h], texts[1 - h]).tolist())) for h in (0, 1)]
-        for h in (0, 1):
-            seen = by_half[:, 1 - h].sum(1) > 0
-            other[h] = {w: g for (w, g), s in zip(other[h].items(), seen) if s}
-        grades = dict(zip(words, _grades(by_half.sum(1), texts.sum(0)).tolist()))
-        tables = other
-
-        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                halves, lists = np.abs(b.column(2).to_numpy()), b.column(3).to_pylist()
-                x = np.zeros((b.num_rows, len(QUANTILES) + 2))
-                for h in (0, 1):
-                    at = np.flatnonzero(halves == h)
-                    if len(at):
-                        f, k = features([lists[i] for i in at], tables[h])
-                        x[at] = np.column_stack([f, k])
-                yield pa.RecordBatch.from_arrays([b.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["grade", "x"])
-
-        sample = rows.select("doc_id", "grade", "half", "words").mapInArrow(measure, "grade int, x array<double>").toArrow()
-    finally:
-        rows.unpersist()
+    rows = cut_lineage(labelled_words(docs, labels))
+    each = rows.select("grade", "half", F.explode(F.array_distinct("words")).alias("word"))
+    counts = word_grades(each).groupBy("word").agg(
+        *[F.coalesce(F.sum(F.when(F.col("half") == h, F.col(f"n{g}"))), F.lit(0)).alias(f"h{h}_{g}") for h in (-1, 0, 1) for g in range(3)]
+    )
+    total = sum(F.col(f"h{h}_{g}") for h in (-1, 0, 1) for g in range(3))
+    kept = counts.withColumn("total", total).filter(F.col("total") >= MIN_TEXTS).orderBy("word").toArrow()
+    if not kept.num_rows:
+        return None
+    words = kept.column("word").to_pylist()
+    c = np.array([[kept.column(f"h{h}_{g}").to_numpy() for g in range(3)] for h in (-1, 0, 1)], dtype=float).transpose(2, 0, 1)
+    by_half = np.stack([c[:, 1], c[:, 0] + c[:, 2]], 1)
+    n = rows.groupBy("half", "grade").count().collect()
+    texts = np.zeros((2, 3))
+    for r in n:
+        texts[abs(r["half"]), r["grade"]] += r["count"]
+    other = [dict(zip(words, _grades(by_half[:, 1 - h], texts[1 - h]).tolist())) for h in (0, 1)]
+    for h in (0, 1):
+        seen = by_half[:, 1 - h].sum(1) > 0
+        other[h] = {w: g for (w, g), s in zip(other[h].items(), seen) if s}
+    grades = dict(zip(words, _grades(by_half.sum(1), texts.sum(0)).tolist()))
+    tables = other
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            halves, lists = np.abs(b.column(2).to_numpy()), b.column(3).to_pylist()
+            x = np.zeros((b.num_rows, len(QUANTILES) + 2))
+            for h in (0, 1):
+                at = np.flatnonzero(halves == h)
+                if len(at):
+                    f, k = features([lists[i] for i in at], tables[h])
+                    x[at] = np.column_stack([f, k])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["grade", "x"])
+
+    sample = rows.select("doc_id", "grade", "half", "words").mapInArrow(measure, "grade int, x array<double>").toArrow()
     y = sample.column("grade").to_numpy().astype(int)
     x = np.array(sample.column("x").to_pylist(), dtype=float).reshape(len(y), -1)
     known = x[:, -1] > 0
@@ -191,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
 def reading_bands(docs: DataFrame, labels: DataFrame, *also: str) -> DataFrame:
     """``doc_id, n_words, band`` of every document, with the columns ``also``; words as split at white space."""
     model = fit(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_WORDS words
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # words of MAX_LABELLED documents at most, each in MIN_TEXTS of them
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

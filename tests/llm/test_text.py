@@ -75,6 +75,25 @@ def test_packing_is_valid_and_full(spark, sf):
     assert {r["window_name"] for r in rows} == {"s", "l"}
 
 
+def test_members_of_a_container_lie_closer_than_random_ones(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    windows = spark.createDataFrame([("m", 2048), ("l", 8192)], "window_name string, capacity_tokens int")
+    place = {r["doc_id"]: i for i, r in enumerate(packing.placed(docs).orderBy("place", "doc_id").collect())}
+    containers = {}
+    for r in packing.pack(docs, windows).collect():
+        containers.setdefault((r["window_name"], r["container"]), []).append(place[r["doc_id"]])
+    for name in ("m", "l"):
+        spread = [np.abs(np.subtract.outer(c, c)).sum() / (len(c) * (len(c) - 1)) for (w, _), c in containers.items() if w == name and len(c) > 1]
+        assert np.mean(spread) < 0.25 * len(place) / 3  # a third of all is the mean distance in a random order
+
+
+def test_validity_tells_faults(spark):
+    windows = spark.createDataFrame([("s", 10)], "window_name string, capacity_tokens int")
+    rows = [("s", "a", 1, 0, 0, 6), ("s", "a", 2, 0, 0, 5), ("s", "b", 3, 0, 0, 4), ("s", "c", 3, 1, 4, 4), ("s", "d", 4, 0, 0, 10), ("s", "e", 4, 1, 10, 3)]
+    packed = spark.createDataFrame(rows, "window_name string, container string, doc_id bigint, part int, first_token bigint, n_tokens bigint")
+    assert tuple(packing.validity(packed, windows).first()) == ("s", 4, 1, 1)
+
+
 def test_pack_block_beats_no_bin():
     rng = random.Random(1)
     sizes = [rng.randint(1, 500) for _ in range(3000)]
