@@ -160,36 +160,39 @@ def described(chunks: DataFrame) -> DataFrame:
 
 
 def verified(files: DataFrame, keys: str, sets: str, across: bool) -> DataFrame:
-    """``repo_id, path, partners``: files with a verified partner in their bands (in another repository where ``across``)."""
-    me = F.struct("repo_id", "path")
-    posted = files.select(me.alias("f"), F.length(sets).alias("n"), F.explode(keys).alias("key"))
-    held = files.filter(F.length(sets) > 0).select(me.alias("x"), F.col(sets).alias("s"))
+    """``no, partners``: files (told by ``no``) with a verified partner in their bands (in another repository where ``across``).
+
+    Only buckets of several files, and only the sets of their members, go further than the first count of keys.
+    """
+    posted = files.select("no", F.xxhash64("repo_id").alias("r"), F.length(sets).alias("n"), F.explode(keys).alias("key"))
+    several = posted.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+    kept = cut_lineage(posted.join(several, "key"))
+    held = cut_lineage(files.select("no", F.col(sets).alias("s")).join(kept.select("no").distinct(), "no", "left_semi"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             alike = []
-            for a, b in zip(t.column(2).to_pylist(), t.column(3).to_pylist()):
+            for a, b in zip(t.column(1).to_pylist(), t.column(2).to_pylist()):
                 a, b = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
                 common = len(np.intersect1d(a, b, assume_unique=True))
                 alike.append(common >= SIMILARITY * (len(a) + len(b) - common))
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(alike, pa.bool_())], names=["repo_id", "path", "alike"])
+            yield pa.RecordBatch.from_arrays([t.column(0), pa.array(alike, pa.bool_())], names=["no", "alike"])
 
     def alike(pairs: DataFrame) -> DataFrame:
-        if across:
-            pairs = pairs.filter("f.repo_id <> g.repo_id")
-        pairs = pairs.select("f", "g").distinct()
-        both = pairs.join(held.select(F.col("x").alias("f"), F.col("s").alias("a")), "f").join(held.select(F.col("x").alias("g"), F.col("s").alias("b")), "g")
-        return both.select("f.repo_id", "f.path", "a", "b").mapInArrow(run, "repo_id string, path string, alike boolean").filter("alike").select("repo_id", "path")
-
-    sized = F.struct("f", "n")
-    ends = posted.groupBy("key").agg(F.min(sized).alias("low"), F.max(sized).alias("high")).filter("low.f <> high.f")
-    to_ends = posted.join(ends, "key").select("f", "n", F.explode(F.array("low", "high")).alias("e")).select("f", "n", F.col("e.f").alias("g"), F.col("e.n").alias("m"))
-    covered = cut_lineage(alike(to_ends.filter("f <> g").filter(F.least("n", "m") >= SIMILARITY * F.greatest("n", "m"))))
+        """Of pairs (``no, r, n`` and ``g, gr, m``) the files whose sets are similar."""
+        pairs = pairs.filter((F.col("no") != F.col("g")) & (F.least("n", "m") >= SIMILARITY * F.greatest("n", "m")))
+        pairs = (pairs.filter("r <> gr") if across else pairs).select("no", "g").distinct()
+        both = pairs.join(held.withColumnRenamed("s", "a"), "no").join(held.select(F.col("no").alias("g"), F.col("s").alias("b")), "g")
+        return both.select("no", "a", "b").mapInArrow(run, "no bigint, alike boolean").filter("alike").select("no")
+
+    file = F.struct("no", "r", "n")
+    ends = kept.groupBy("key").agg(F.min(file).alias("low"), F.max(file).alias("high"))
+    to_ends = kept.join(ends, "key").select("no", "r", "n", F.explode(F.array("low", "high")).alias("e")).select("no", "r", "n", F.col("e.no").alias("g"), F.col("e.r").alias("gr"), F.col("e.n").alias("m"))
+    covered = cut_lineage(alike(to_ends))
     # the ends of a bucket say nothing of the links among its other members
-    open_ = posted.join(ends.select("key"), "key").join(covered.select(me.alias("f")).distinct(), "f", "left_anti")
-    others = posted.select("key", F.col("f").alias("g"), F.col("n").alias("m"))
-    rest = alike(open_.join(others, "key").filter(F.col("f") != F.col("g")).filter(F.least("n", "m") >= SIMILARITY * F.greatest("n", "m")))
-    return covered.union(rest).groupBy("repo_id", "path").agg(F.count("*").alias("partners"))
+    open_ = kept.join(covered.distinct(), "no", "left_anti")
+    others = kept.select("key", F.col("no").alias("g"), F.col("r").alias("gr"), F.col("n").alias("m"))
+    return covered.union(alike(open_.join(others, "key"))).groupBy("no").agg(F.count("*").alias("partners"))
 
 
 def not_handwritten(chunks: DataFrame) -> DataFrame:
@@ -197,15 +200,15 @@ def not_handwritten(chunks: DataFrame) -> DataFrame:
 
     ``route``: ``repository`` (a masked twin in the repository), ``across`` (a twin in another one), ``alone`` or ``name``.
     """
-    files = cut_lineage(described(chunks))
+    files = cut_lineage(described(chunks).withColumn("no", F.monotonically_increasing_id()))
     sources = files.filter("length(masked) > 0")
     in_repo = sources.withColumn("masked_bands", F.transform("masked_bands", lambda x: F.xxhash64(x, F.col("repo_id"))))
-    within = verified(in_repo, "masked_bands", "masked", False).select("repo_id", "path", F.lit(True).alias("within"))
-    across = verified(sources.filter((F.col("repeats") >= REPEATS) | (F.col("kind") != "")), "masked_bands", "masked", True).select("repo_id", "path", F.lit(True).alias("across"))
-    copied = verified(files.filter("kind = '' and length(plain) > 0"), "plain_bands", "plain", True).select("repo_id", "path", F.lit(True).alias("copied"))
-    told = files.select("repo_id", "path", "kind", "repeats")
+    within = verified(in_repo, "masked_bands", "masked", False).select("no", F.lit(True).alias("within"))
+    across = verified(sources.filter((F.col("repeats") >= REPEATS) | (F.col("kind") != "")), "masked_bands", "masked", True).select("no", F.lit(True).alias("across"))
+    copied = verified(files.filter("kind = '' and length(plain) > 0"), "plain_bands", "plain", True).select("no", F.lit(True).alias("copied"))
+    told = files.select("no", "repo_id", "path", "kind", "repeats")
     for cluster in (within, across, copied):
-        told = told.join(cluster, ["repo_id", "path"], "left")
+        told = told.join(cluster, "no", "left")
     told = told.fillna(False, ["within", "across", "copied"])
     r = F.col("repeats")
     made = F.col("within") & (r >= WITHIN) | F.col("across") & (r >= REPEATS) | (r >= ALONE)

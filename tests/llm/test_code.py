@@ -350,9 +350,9 @@ def test_links_between_inner_members_of_a_bucket(spark, across):
     # in order of names: one end, two alike, the other end; one bucket of all, which alone holds the pair
     near, one, two = np.arange(100, 200), np.arange(1000, 1100), np.arange(2000, 2100)
     sets = {"a": one, "m": near, "n": np.append(near[:95], range(300, 305)), "z": two}
-    rows = [(repo, "f.py", s.astype(np.uint32).tobytes(), [7]) for repo, s in sets.items()]
-    files = spark.createDataFrame(rows, "repo_id string, path string, plain binary, plain_bands array<bigint>")
-    got = {r["repo_id"] for r in handwritten.verified(files, "plain_bands", "plain", across).collect()}
+    rows = [(i, repo, s.astype(np.uint32).tobytes(), [7]) for i, (repo, s) in enumerate(sets.items())]
+    files = spark.createDataFrame(rows, "no bigint, repo_id string, plain binary, plain_bands array<bigint>")
+    got = {list(sets)[r["no"]] for r in handwritten.verified(files, "plain_bands", "plain", across).collect()}
     assert got == {"m", "n"}
 
 
