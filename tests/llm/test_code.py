@@ -352,7 +352,7 @@ def test_links_between_inner_members_of_a_bucket(spark, across):
     sets = {"a": one, "m": near, "n": np.append(near[:95], range(300, 305)), "z": two}
     rows = [(i, repo, s.astype(np.uint32).tobytes(), [7]) for i, (repo, s) in enumerate(sets.items())]
     files = spark.createDataFrame(rows, "no bigint, repo_id string, plain binary, plain_bands array<bigint>")
-    got = {list(sets)[r["no"]] for r in handwritten.verified(files, "plain_bands", "plain", across).collect()}
+    got = {list(sets)[r["no"]] for r in handwritten.verified(files, "plain_bands", "plain", across, 1).collect()}
     assert got == {"m", "n"}
 
 
