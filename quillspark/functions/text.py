@@ -77,3 +77,26 @@ def indexed_text(path: Column, kind: Column, symbol: Column, parent: Column, con
     some = lambda c: F.when(F.coalesce(c, F.lit("")) != "", c)
     head = F.concat_ws(" ", F.concat(F.lit("file: "), path), F.when(some(symbol).isNotNull(), F.concat(kind, F.lit(": "), symbol)), F.when(some(parent).isNotNull(), F.concat(F.lit("in "), parent)))
     return F.concat_ws("\n", some(head), some(context), some(symbols), some(content), some(F.array_join(subwords(content), " ")))
+
+
+def line_of(text: Column, offset: Column) -> Column:
+    """Line (from 1) on which the character at ``offset`` (from 0) stands."""
+    return F.length(F.regexp_replace(F.substring(text, F.lit(1), offset), "[^\n]", "")) + 1
+
+
+def without_thinking(text: Column) -> Column:
+    """A model's answer without its block of thoughts."""
+    return F.trim(F.regexp_replace(text, r"(?s)<think>.*?</think>\s*", ""))
+
+
+def without_authorization(text: Column) -> Column:
+    """A message with the values of authorization headers left out."""
+    return F.regexp_replace(text, r"(?i)(Basic|Bearer)\s+[A-Za-z0-9+/=_\-]+", "$1 [REDACTED]")
+
+
+def short_stamp(iso: Column) -> Column:
+    """``2025-01-31 12:00 UTC`` of an ISO time with an offset, without `` UTC`` of one without; other texts as they are."""
+    zoned = iso.rlike(r"(?:Z|[+-]\d{2}:?\d{2})$")
+    at = F.date_format(F.to_utc_timestamp(F.try_to_timestamp(iso), F.current_timezone()), "yyyy-MM-dd HH:mm")
+    plain = F.concat_ws(" ", F.substring(iso, 1, 10), F.substring(iso, 12, 5))
+    return F.when(zoned & at.isNotNull(), F.concat(at, F.lit(" UTC"))).when(F.try_to_timestamp(iso).isNotNull() & iso.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d"), plain).otherwise(iso)

@@ -48,6 +48,6 @@ def index_version(settings: dict[str, object]) -> str:
 
 
 def cached_contexts(chunks: DataFrame, cache: DataFrame) -> DataFrame:
-    """Chunks with the description cached for their hash, ``''`` and ``hit`` false where there is none."""
-    known = cache.groupBy("chunk_hash").agg(F.max("context").alias("cached"))
-    return chunks.join(known, "chunk_hash", "left").withColumn("hit", F.col("cached").isNotNull()).withColumn("cached", F.coalesce("cached", F.lit("")))
+    """Chunks with the description cached for their hash and model, ``''`` and ``hit`` false where there is none."""
+    known = cache.groupBy("chunk_hash", "model").agg(F.max("context").alias("cached"))
+    return chunks.join(known, ["chunk_hash", "model"], "left").withColumn("hit", F.col("cached").isNotNull()).withColumn("cached", F.coalesce("cached", F.lit("")))

@@ -194,9 +194,11 @@ def sync_counters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rewritten_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks left by repository once those of changed files are taken out."""
+    """Chunks by repository after a run: those of changed and deleted files are taken out, those of new and changed files written."""
     chunks = _chunks(spark, d, "repo_id", "path")
-    kept = incremental.rewritten(chunks, manifest_diff(spark, d).filter("state <> 'added'"), chunks.limit(0))
+    diff = manifest_diff(spark, d)
+    fresh = chunks.join(diff.filter("state in ('added', 'modified')"), ["repo_id", "path"], "left_semi")
+    kept = incremental.rewritten(chunks, diff, fresh)
     return kept.groupBy("repo_id").agg(F.count("*").alias("n_chunks"))
 
 
@@ -210,9 +212,10 @@ def repo_totals(spark: SparkSession, d: str) -> DataFrame:
 
 def enrichment_cache(spark: SparkSession, d: str) -> DataFrame:
     """Chunks by repository that a description is cached for (under their hash), and those without."""
-    c = _chunks(spark, d, "repo_id", "chunk_hash", "context")
-    cache = c.filter("context <> ''").select("chunk_hash", "context")
-    return incremental.cached_contexts(c, cache).groupBy("repo_id").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+    c = _chunks(spark, d, "repo_id", "chunk_hash", "context", "lang")
+    # the language stands for the model here, the second part of the key
+    cache = c.filter("context <> ''").select("chunk_hash", F.coalesce(F.lower("lang"), F.lit("")).alias("model"), "context")
+    return incremental.cached_contexts(c.withColumn("model", F.coalesce(F.lower("lang"), F.lit(""))), cache).groupBy("repo_id").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
 
 
 def stats_of_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -351,11 +354,11 @@ SQL = {
     "manifest_deleted": f"SELECT repo_id, path FROM {_DIFF} WHERE state = 'deleted'",
     "sync_counters": f"""SELECT repo_id, count(*) FILTER (state <> 'deleted') AS files_seen, count(*) FILTER (state = 'added') AS added, count(*) FILTER (state = 'modified') AS modified,
         count(*) FILTER (state = 'deleted') AS deleted, count(*) FILTER (state = 'unchanged') AS unchanged FROM {_DIFF} GROUP BY repo_id""",
-    "rewritten_chunks": f"SELECT c.repo_id AS repo_id, count(*) AS n_chunks FROM {_CHUNKS} c ANTI JOIN (SELECT * FROM {_DIFF} WHERE state IN ('modified', 'deleted')) x ON c.repo_id = x.repo_id AND c.path = x.path GROUP BY c.repo_id",
+    "rewritten_chunks": f"SELECT c.repo_id AS repo_id, count(*) AS n_chunks FROM {_CHUNKS} c ANTI JOIN (SELECT * FROM {_DIFF} WHERE state = 'deleted') x ON c.repo_id = x.repo_id AND c.path = x.path GROUP BY c.repo_id",
     "rebuild_gate": "SELECT id, index_version, coalesce(index_version, '') <> 'v8' AS rebuild FROM repos",
     "repo_totals": f"SELECT repo_id, count(*) AS file_count, coalesce(sum(chunk_count), 0)::BIGINT AS chunk_count FROM {_MANIFEST} GROUP BY repo_id",
-    "enrichment_cache": f"""WITH c AS (SELECT * FROM {_CHUNKS}), k AS (SELECT chunk_hash, max(context) AS x FROM c WHERE context <> '' GROUP BY chunk_hash)
-        SELECT repo_id, count(k.x) AS hits, count(*) - count(k.x) AS misses FROM c LEFT JOIN k USING (chunk_hash) GROUP BY repo_id""",
+    "enrichment_cache": f"""WITH c AS (SELECT *, coalesce(lower(lang), '') AS model FROM {_CHUNKS}), k AS (SELECT chunk_hash, model, max(context) AS x FROM c WHERE context <> '' GROUP BY ALL)
+        SELECT repo_id, count(k.x) AS hits, count(*) - count(k.x) AS misses FROM c LEFT JOIN k USING (chunk_hash, model) GROUP BY repo_id""",
     "stats_of_runs": """WITH s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY finished_at DESC NULLS LAST) AS r_ FROM index_stats) WHERE r_ = 1)
         SELECT repo_id, count(*) AS runs, sum(files_seen)::BIGINT AS files_seen, coalesce(sum(redactions), 0)::BIGINT AS redactions, arg_max(reason, struct_pack(a := finished_at, b := run_id)) AS last_reason FROM s GROUP BY repo_id""",
 }

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import corpus, events, retrieval
+from quillspark.plans import corpus, events, listings, retrieval
 
 FLAGSHIP = "hybrid_retrieval"
-_MODULES = (retrieval, corpus, events)
+_MODULES = (retrieval, corpus, events, listings)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
