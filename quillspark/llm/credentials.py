@@ -252,7 +252,7 @@ def findings(chunks: DataFrame, folder: str = TOKENIZER_DIR) -> DataFrame:
 
 
 def redacted(chunks: DataFrame, folder: str = TOKENIZER_DIR) -> DataFrame:
-    """``id, indexed_at, content, redactions`` of each row that holds a credential."""
+    """``id, indexed_at, content, redactions`` of each row that holds a credential; a row delivered again unchanged comes out once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(folder)
@@ -269,7 +269,7 @@ def redacted(chunks: DataFrame, folder: str = TOKENIZER_DIR) -> DataFrame:
             judge.encoder.tidy()
 
     rows = chunks.filter("content is not null").select("id", "indexed_at", "content")
-    return rows.mapInArrow(run, "id string, indexed_at string, content string, redactions int")
+    return rows.mapInArrow(run, "id string, indexed_at string, content string, redactions int").distinct()
 
 
 def found_lines(chunks: DataFrame) -> DataFrame:

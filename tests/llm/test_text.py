@@ -183,3 +183,17 @@ def test_profile_counts_every_document(spark, sf):
     profile = queries.p8_profile(spark, sf)
     assert {tuple(r) for r in profile.groupBy(*by).sum("n_docs").collect()} == want
     assert (profile.filter("band is null").groupBy().sum("n_docs").first()[0] or 0) == docs.filter("text is null").count()
+
+
+def test_registered_sql(spark, sf):
+    from quillspark.llm import queries
+
+    con = duckdb.connect()
+    for name in ("code_chunks", "documents", "chunker_config", "context_windows"):
+        con.execute(f"create view {name} as select * from '{sf}/{name}.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        df = queries.queries()[name](spark, sf)
+        result = con.execute(sql)
+        columns = [d[0] for d in result.description]
+        assert sorted(columns) == sorted(df.columns)
+        assert sorted(map(repr, result.fetchall())) == sorted(repr(tuple(r[c] for c in columns)) for r in df.collect()), name
