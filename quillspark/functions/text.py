@@ -17,10 +17,11 @@ def terms(text: Column) -> Column:
 
 
 def subwords(text: Column) -> Column:
-    """Distinct parts of the identifiers (camel, acronym and snake borders), sorted; single letters and numbers left out."""
-    spaced = F.regexp_replace(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
-    parts = F.transform(F.regexp_extract_all(spaced, F.lit("([A-Za-z][A-Za-z0-9]*)")), F.lower)
-    return F.array_sort(F.array_distinct(F.filter(parts, lambda x: F.length(x) > 1)))
+    """Distinct parts of the identifiers of three characters and more (camel, acronym and snake borders), sorted; single characters and numbers left out."""
+    words = F.array_join(F.regexp_extract_all(text, F.lit("[A-Za-z_][A-Za-z0-9_]{2,}"), F.lit(0)), " ")
+    spaced = F.regexp_replace(F.regexp_replace(words, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
+    parts = F.split(F.lower(spaced), "[ _]+")
+    return F.array_sort(F.array_distinct(F.filter(parts, lambda x: (F.length(x) > 1) & ~x.rlike("^[0-9]+$"))))
 
 
 def slug(name: Column) -> Column:
@@ -72,11 +73,18 @@ def citation(path: Column, symbol: Column) -> Column:
     return F.when(F.coalesce(symbol, F.lit("")) != "", F.concat_ws("::", path, symbol)).otherwise(path)
 
 
-def indexed_text(path: Column, kind: Column, symbol: Column, parent: Column, context: Column, symbols: Column, content: Column) -> Column:
-    """Header, description, symbols, text and subwords of a chunk, one under the other, empty parts left out."""
+def unit_header(mark: Column, path: Column, kind: Column, symbol: Column, parent: Column) -> Column:
+    """What a code unit is and where it stands, behind the comment sign of its language."""
     some = lambda c: F.when(F.coalesce(c, F.lit("")) != "", c)
-    head = F.concat_ws(" ", F.concat(F.lit("file: "), path), F.when(some(symbol).isNotNull(), F.concat(kind, F.lit(": "), symbol)), F.when(some(parent).isNotNull(), F.concat(F.lit("in "), parent)))
-    return F.concat_ws("\n", some(head), some(context), some(symbols), some(content), some(F.array_join(subwords(content), " ")))
+    what = F.concat(mark, F.lit(" "), F.coalesce(some(kind), F.lit("symbol")), F.lit(": "), some(symbol), F.coalesce(F.concat(F.lit(" (in "), some(parent), F.lit(")")), F.lit("")))
+    return F.concat_ws("\n", F.concat(mark, F.lit(" file: "), path), F.coalesce(what, F.concat(mark, F.lit(" in: "), some(parent))))
+
+
+def indexed_text(header: Column, context: Column, symbols: Column, content: Column) -> Column:
+    """Header, description, symbols, text and subwords (of header and text) of a chunk, one under the other, empty parts left out."""
+    some = lambda c: F.when(F.coalesce(c, F.lit("")) != "", c)
+    words = F.array_join(subwords(F.concat_ws("\n", F.coalesce(header, F.lit("")), F.coalesce(content, F.lit("")))), " ")
+    return F.concat_ws("\n", some(header), some(context), some(symbols), some(content), some(words))
 
 
 def line_of(text: Column, offset: Column) -> Column:

@@ -51,7 +51,9 @@ def identifier_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def indexed_text(spark: SparkSession, d: str) -> DataFrame:
-    built = T.indexed_text(*[F.col(x) for x in ("path", "kind", "symbol", "parent_symbol", "context", "symbols", "content")])
+    p = F.col("path")
+    mark = F.when((P.category(p) == "doc") | P.language(p).isNull() | P.language(p).isin(*units.HASH_COMMENTS), "#").otherwise("//")
+    built = T.indexed_text(T.unit_header(mark, p, F.col("kind"), F.col("symbol"), F.col("parent_symbol")), F.col("context"), F.col("symbols"), F.col("content"))
     return _chunks(spark, d, sha=F.sha2(built, 256), n_bytes=F.octet_length(built).cast("bigint")).select("id", "sha", "n_bytes")
 
 
@@ -265,10 +267,9 @@ _IGNORED = f"""(list_has_any(string_split(path, '/')[:-2], ['.git', '.hg', '.svn
   OR regexp_matches(lower({_NAME}), '(\\.min\\.js|\\.min\\.css|\\.bundle\\.js|\\.chunk\\.js|\\.map|\\.d\\.ts|\\.lock|-lock\\.json|-lock\\.yaml|\\.snap|\\.pb\\.go|\\.generated\\.cs|\\.g\\.cs|\\.g\\.i\\.cs|\\.designer\\.cs|\\.g\\.dart|\\.freezed\\.dart)$'))"""
 _INDEXABLE = f"""(NOT {_IGNORED} AND ({_NAME} IN ('Dockerfile', 'Makefile', 'Jenkinsfile', 'Procfile', '.env.example', 'CODEOWNERS', 'BUILD', 'WORKSPACE')
   OR (({_SUFFIX}) <> '' AND ({_SUFFIX}) NOT IN {_NEVER} AND (({_SUFFIX}) IN {_FLAT} OR ({_LANGUAGE}) IS NOT NULL))))"""
-_SUBWORDS = (
-    "array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(regexp_replace(regexp_replace(coalesce(content, ''), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'),"
-    " '[A-Za-z][A-Za-z0-9]*'), lambda x: lower(x)), lambda x: length(x) > 1))), ' ')"
-)
+def _subwords(text: str) -> str:
+    spaced = f"regexp_replace(regexp_replace(array_to_string(regexp_extract_all({text}, '[A-Za-z_][A-Za-z0-9_]{{2,}}'), ' '), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')"
+    return f"array_to_string(list_sort(list_distinct(list_filter(string_split_regex(lower({spaced}), '[ _]+'), lambda x: length(x) > 1 AND NOT regexp_matches(x, '^[0-9]+$')))), ' ')"
 
 
 def _slug(expr: str) -> str:
@@ -319,9 +320,11 @@ SQL = {
     "typing_counts": f"SELECT category, told, count(*) AS n_chunks, grouping(category, told)::INT AS level FROM (SELECT category, {_CATEGORY} AS told FROM {_CHUNKS}) GROUP BY ROLLUP (category, told)",
     "scalar_filter_scan": "SELECT repo_id, count(DISTINCT id) AS n_chunks, count(DISTINCT path) AS n_files FROM code_chunks WHERE lower(lang) = 'go' AND category = 'code' AND starts_with(path, 'internal/') GROUP BY repo_id",
     "chunk_lookup": f"SELECT id, row_number() OVER (PARTITION BY repo_id, path ORDER BY ordinal, id) - 1 AS place, start_line, end_line FROM {_CHUNKS}",
-    "identifier_split": f"SELECT id, {_SUBWORDS} AS subwords FROM {_CHUNKS}",
-    "indexed_text": f"""WITH b AS (SELECT id, concat_ws(chr(10), nullif(concat_ws(' ', 'file: ' || path, CASE WHEN symbol <> '' THEN kind || ': ' || symbol END, CASE WHEN parent_symbol <> '' THEN 'in ' || parent_symbol END), ''),
-        nullif(context, ''), nullif(symbols, ''), nullif(content, ''), nullif({_SUBWORDS}, '')) AS t FROM {_CHUNKS}) SELECT id, sha256(t) AS sha, octet_length(encode(t)) AS n_bytes FROM b""",
+    "identifier_split": f"SELECT id, {_subwords("coalesce(content, '')")} AS subwords FROM {_CHUNKS}",
+    "indexed_text": f"""WITH m AS (SELECT *, CASE WHEN ({_CATEGORY}) = 'doc' OR ({_LANGUAGE}) IS NULL OR ({_LANGUAGE}) IN ('python', 'ruby', 'bash', 'yaml', 'toml', 'r', 'perl', 'make', 'dockerfile', 'elixir', 'julia', 'powershell', 'terraform', 'starlark') THEN '#' ELSE '//' END AS mark FROM {_CHUNKS}),
+        h AS (SELECT *, mark || ' file: ' || path || CASE WHEN symbol <> '' THEN chr(10) || mark || ' ' || coalesce(nullif(kind, ''), 'symbol') || ': ' || symbol || CASE WHEN parent_symbol <> '' THEN ' (in ' || parent_symbol || ')' ELSE '' END
+          WHEN parent_symbol <> '' THEN chr(10) || mark || ' in: ' || parent_symbol ELSE '' END AS header FROM m),
+        b AS (SELECT id, concat_ws(chr(10), header, nullif(context, ''), nullif(symbols, ''), nullif(content, ''), nullif({_subwords("header || chr(10) || coalesce(content, '')")}, '')) AS t FROM h) SELECT id, sha256(t) AS sha, octet_length(encode(t)) AS n_bytes FROM b""",
     "slugs": f"SELECT id, {_slug('concat_ws(chr(32), repo_name, branch, provider)')} AS slug FROM repos",
     "path_slugs": f"SELECT path, {_slug('path')} AS slug FROM (SELECT DISTINCT path FROM files)",
     "line_slices": f"SELECT id, array_to_string(string_split(content, chr(10))[2:4], chr(10)) AS lines FROM {_CHUNKS} WHERE content IS NOT NULL",

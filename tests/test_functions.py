@@ -15,7 +15,10 @@ def test_symbols(spark):
 
 
 def test_subwords(spark):
-    assert column(spark, ["parseHTTPResponse snake_case x 42", ""], text.subwords(F.col("t"))) == [["case", "http", "parse", "response", "snake"], []]
+    assert column(spark, ["parseHTTPResponse snake_case x 42 ab utf_8 _id2", "", "a_42b __init__"], text.subwords(F.col("t"))) == [["case", "http", "id2", "parse", "response", "snake", "utf"], [], ["42b", "init"]]
+    one = spark.createDataFrame([("//", "a/b.ts", "method", "run", "Foo", "Runs.", "run", "run() {}")], "mark string, path string, kind string, symbol string, parent string, context string, symbols string, content string")
+    head = text.unit_header(*[F.col(c) for c in ("mark", "path", "kind", "symbol", "parent")])
+    assert one.select(text.indexed_text(head, F.col("context"), F.col("symbols"), F.col("content"))).first()[0] == "// file: a/b.ts\n// method: run (in Foo)\nRuns.\nrun\nrun() {}\nfile foo method run"
 
 
 def test_slug(spark):
