@@ -95,3 +95,10 @@ def nearest_percentiles(rows: DataFrame, by: str, value: str) -> DataFrame:
     at50, at95 = F.floor(F.col("n") / 2), F.least(F.col("n") - 1, F.floor(F.col("n") * 95 / 100))
     inside = lambda at: (at >= F.col("hi") - F.col("c")) & (at < F.col("hi"))
     return upto.groupBy(by).agg(F.max("n").alias("n"), F.max(F.when(inside(at50), F.col(value))).alias("p50"), F.max(F.when(inside(at95), F.col(value))).alias("p95"))
+
+
+def save(result: DataFrame, folder: str, tag: str, at: str) -> str:
+    """Write a report as JSON lines into a folder of its own, named by time (``2025-01-31_1200``) and tag; returns its path."""
+    path = f"{folder.rstrip('/')}/{at}_{tag}.json"
+    result.write.mode("error").json(path)
+    return path

@@ -105,6 +105,20 @@ class Engine:
         changed = diff.filter("state in ('added', 'modified')").select("repo_id", "path")
         return incremental.rewritten(self.chunks, diff, fresh.join(changed, ["repo_id", "path"], "left_semi")), incremental.counters(diff)
 
+    def without(self, repo_id: str) -> "Engine":
+        """The engine after a repository's removal: its chunks, manifest rows and record are gone, descriptions stay cached."""
+        keep = F.coalesce(F.col("repo_id"), F.lit("")) != repo_id
+        other = Engine.__new__(Engine)
+        other.spark, other.settings, other.chunks = self.spark, self.settings, self.chunks.filter(keep)
+        other.manifest = self.manifest.filter(keep) if self.manifest is not None else None
+        other.repos = self.repos.filter(F.col("id") != repo_id) if self.repos is not None else None
+        return other
+
+    def health(self) -> DataFrame:
+        """One row: repositories, files and chunks."""
+        files = incremental.latest(self.manifest, ["repo_id", "path"], "indexed_at").agg(F.count("*").alias("files"))
+        return self.repos.agg(F.count("*").alias("repos")).join(files).join(self.chunks.agg(F.count("*").alias("chunks")))
+
     def totals(self) -> DataFrame:
         return state.repo_totals(self.manifest)
 
@@ -112,4 +126,5 @@ class Engine:
         return events.pending_jobs(pushes, self.repos)
 
     def evaluate(self, cases: DataFrame, hits: DataFrame, expected: DataFrame) -> DataFrame:
+        """The report over cases (``query_id, kind, mode``), hits of ``search`` and what is expected (``path`` or ``path::symbol``)."""
         return evaluation.report(evaluation.scored_cases(cases, hits, expected))

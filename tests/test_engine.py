@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import answers
+from quillspark.operators import answers, evaluation
 from quillspark.plans.engine import Engine, Settings
 
 
@@ -72,3 +72,26 @@ def test_written_once(spark, engine):
     plan = again.chunks.select("id", "path").join(again.chunks.select("id", "symbol").hint("merge"), "id")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     spark.sql("drop table chunks_by_id")
+
+
+def test_removal_and_health(spark, engine):
+    whole = engine.health().first()
+    gone = engine.repos.orderBy("id").first()["id"]
+    rest = engine.without(gone)
+    assert rest.health().first()["repos"] == whole["repos"] - 1 and rest.chunks.filter(F.col("repo_id") == gone).count() == 0
+    assert rest.chunks.count() == engine.chunks.filter(F.col("repo_id") != gone).count()
+
+
+def test_evaluation_of_searches(spark, engine, tmp_path):
+    some = engine.chunks.filter("symbol <> ''").orderBy("id").limit(4).select("id", "path", "symbol")
+    queries = some.select(F.col("id").alias("query_id"), F.col("symbol").alias("query"), F.lit(None).cast("array<float>").alias("vector"), F.lit("bm25").alias("mode"))
+    cases = some.select(F.col("id").alias("query_id"), F.lit("symbol").alias("kind"), F.lit("any").alias("mode"))
+    expected = some.select(F.col("id").alias("query_id"), F.concat_ws("::", "path", "symbol").alias("expect"))
+    # a query has the id of its own chunk, which isn't a hit then: other ids for the queries
+    rename = lambda df: df.withColumn("query_id", F.concat(F.lit("q:"), "query_id"))
+    hits = engine.search(rename(queries))
+    report = engine.evaluate(rename(cases), hits, rename(expected))
+    row = report.first()
+    assert row["n"] == 4 and row["recall"] > 0.5 and row["abstain_rate"] is None
+    path = evaluation.save(report, str(tmp_path), "symbols", "2025-01-31_1200")
+    assert spark.read.json(path).first()["n"] == 4 and path.endswith("2025-01-31_1200_symbols.json")
