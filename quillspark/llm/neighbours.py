@@ -5,7 +5,7 @@ file of each. Every file is reranked whole: the exact cosine of all its rows wit
 a matrix product, costs less than their footrule distances would, and a cut by footrule before
 it loses neighbours (README). The k best of all files of a row remain.
 
-Pivots come from a bounded sample of the rows (the lowest hashes of ids); there are ``sqrt(2 n)``
+Pivots come from a bounded sample of the rows (the lowest hashes of ids); there are ``sqrt(n / 2)``
 of them, so that files grow with the square root of the number of rows, and the whole work with
 its power 1.5. A pivot's nearness is its cosine less ``BALANCE`` times the cosine that the
 sample's nearest rows exceed: pivots in the middle of a dense group would otherwise draw the
@@ -33,11 +33,11 @@ from pyspark.sql import functions as F
 from quillspark.session import cut_lineage, parallelism
 
 #: Nearest pivots by which a vector is posted.
-PREFIX = 9
+PREFIX = 8
 #: Share of a pivot's usual nearness that is taken off.
 BALANCE = 0.8
 #: Rows of a file that one task compares at once; files beyond are compared in pairs of blocks.
-BLOCK_ROWS = 50_000
+BLOCK_ROWS = 100_000
 #: Rows of a file that are compared with the others at once, and cosines held for it.
 STRIP, CELLS = 512, 1 << 22
 MAX_PIVOTS = 65_536
@@ -51,7 +51,7 @@ HOT_COPIES = 20_000
 
 def pivot_count(n: int) -> int:
     """Pivots for ``n`` different vectors."""
-    return max(1, min(MAX_PIVOTS, math.isqrt(2 * n)))
+    return max(1, min(MAX_PIVOTS, math.isqrt(n // 2)))
 
 
 def unit_vectors(rows: DataFrame, id_column: str, vector_column: str, latest: Column) -> DataFrame:
@@ -280,9 +280,17 @@ def neighbours(
 
     # one row of each vector is searched; the others are told by its number
     each = units.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("n"))
-    groups = keep(ordered(each, index).withColumn("no", F.monotonically_increasing_id()))
-    best = merged(file_neighbours(postings(groups.select("no", "vec", "files"), n), dim, k, least), k)
-    links = best.select("no", F.explode(F.arrays_zip("near", "cosines")).alias("x")).select("no", F.col("x.near").alias("other"), F.col("x.cosines").cast("double").alias("cosine"))
+    # an odd number tells that other ids have the same vector
+    number = F.monotonically_increasing_id() * 2 + F.when(F.col("n") > 1, 1).otherwise(0)
+    groups = keep(ordered(each, index).withColumn("no", number))
+    best = keep(merged(file_neighbours(postings(groups.select("no", "vec", "files"), n), dim, k, least), k))
+    pairs = F.explode(F.arrays_zip("near", "cosines")).alias("x")
+    other = [F.col("x.near").alias("other"), F.col("x.cosines").cast("double").alias("cosine")]
+    copied = (F.col("no") % 2 == 1) | F.exists("near", lambda x: x % 2 == 1)
+    links = best.filter(copied).select("no", pairs).select("no", *other)
+    # a row without copies, its own or its neighbours', has its neighbours already
+    single = groups.select("no", "id")
+    plain = best.filter(~copied).join(single, "no").select("id", pairs).select("id", *other).join(single.select(F.col("no").alias("other"), F.col("id").alias("neighbour")), "other").select("id", "neighbour", "cosine")
 
     twins = keep(copies(units, groups))
     # the copies of one vector: each with the next k, in parts of bounded size
@@ -299,7 +307,7 @@ def neighbours(
     there = named.select(F.col("no").alias("other"), F.col("ids").alias("theirs"))
     spread = links.join(here, "no").join(there, "other").select(F.explode("mine").alias("id"), "theirs", "cosine").select("id", F.explode("theirs").alias("neighbour"), "cosine")
     ranked = spread.union(equal).withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")))
-    return ranked.filter(F.col("r") <= k).select("id", "neighbour", "cosine")
+    return plain.union(ranked.filter(F.col("r") <= k).select("id", "neighbour", "cosine"))
 
 
 def linked_pairs(near: DataFrame) -> DataFrame:
